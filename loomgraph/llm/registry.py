@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import q_exact_dedup
+from loomgraph.llm import q_exact_dedup, q_toxicity
 
-MODULES = [q_exact_dedup]
+MODULES = [q_toxicity, q_exact_dedup]
 
 
 def queries():

@@ -46,3 +46,18 @@ def discard(*tables: DataFrame) -> None:
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def id_text(column: str = "doc_id") -> Column:
+    """The id as text; null as the empty string."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def crc_mod(column: str, n: int) -> Column:
+    """The remainder of crc32 of the id's text, which deals rows to folds."""
+    return F.pmod(F.crc32(id_text(column).cast("binary")), F.lit(n))
+
+
+def drop_clashing(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs without columns that an operator is about to add."""
+    return docs.drop(*[c for c in docs.columns if c in names])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import q_exact_dedup, q_toxicity
+from loomgraph.llm import q_exact_dedup, q_mixing, q_simhash, q_toxicity
 
-MODULES = [q_toxicity, q_exact_dedup]
+MODULES = [q_toxicity, q_mixing, q_exact_dedup, q_simhash]
 
 
 def queries():

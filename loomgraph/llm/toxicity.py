@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import text_or_empty
@@ -24,11 +24,7 @@ MAX_LABELLED = 12_000
 MAX_LEXICON = 5_000
 #: Lengths of word beginnings that may stand for a family of inflected words.
 STEMS = (4, 5, 6)
-#: Confidence of the bounds: more labelled rows mean more candidate terms, so a stricter test.
-def confidence(toxic: int) -> float:
-    return max(1.64, 1.15 * math.log10(max(toxic, 1)))
-
-
+#: Terms that weigh less are no insults.
 LEAST_WEIGHT = math.log(4)
 
 #: Closed classes of the grammar. Threats and targets are seeds; insults are learned.
@@ -147,6 +143,11 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), matched
 
 
+def confidence(toxic: int) -> float:
+    """Of the bounds: more labelled rows mean more candidate terms, so a stricter test."""
+    return max(1.64, 1.15 * math.log10(max(toxic, 1)))
+
+
 def _bound(hits: float, n: float, upper: bool, z: float) -> float:
     """Wilson's bound of a rate."""
     if not n:
@@ -156,6 +157,11 @@ def _bound(hits: float, n: float, upper: bool, z: float) -> float:
     return (mid + side * half) / (1 + z * z / n)
 
 
+def word_beginnings(words: str, n: int) -> Column:
+    """The first n letters of each longer word, marked as a beginning."""
+    return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+
 def learn_labels(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """At most max_labelled (doc_id, toxic) of the learning fold, chosen by a hash of the id; of several labels the highest."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
@@ -178,7 +184,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     # The sample has at most max_labelled rows of two numbers, whatever the tables' size.
     rows = documents.select("doc_id", text_or_empty().alias("t")).join(F.broadcast(sample), "doc_id")
     words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), 1))
-    stems = [F.transform(F.filter("w", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
+    stems = [word_beginnings("w", n) for n in STEMS]
     terms = rows.select("toxic", words.alias("w")).select("toxic", F.array_distinct(F.concat("w", *stems)).alias("terms"))
     total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = math.log((toxic + 1) / (total - toxic + 2))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import q_exact_dedup, q_html_extract, q_language_id, q_line_dedup, q_mixing, q_simhash, q_toxicity
+from loomgraph.llm import q_chat_tree, q_exact_dedup, q_html_extract, q_language_id, q_line_dedup, q_mixing, q_packing, q_simhash, q_toxicity
 
-MODULES = [q_toxicity, q_mixing, q_html_extract, q_line_dedup, q_exact_dedup, q_simhash, q_language_id]
+MODULES = [q_toxicity, q_packing, q_chat_tree, q_mixing, q_html_extract, q_line_dedup, q_exact_dedup, q_simhash, q_language_id]
 
 
 def queries():

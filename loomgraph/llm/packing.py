@@ -9,9 +9,12 @@ cuts, which a monotone queue answers in constant time each.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,16 +32,18 @@ AT_SENTENCE, IN_SENTENCE = 2, 16
 STRETCH = 64
 END_ID = 1
 SENTENCE_END = tuple(".!?…。！？")
+#: Marks that end a word, and stand apart from it in the tokenizer's split as well.
+PUNCTUATED = re.compile(r"(?<=[^\W_])([.,;:!?]+)(?=[ \n]|$)")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class ChunkTokenizer:
     """Ids of whole texts by way of their chunks between spaces, which are encoded once each.
 
-    Right for tokenizers that split at white space and drop it. At most `most` chunks are remembered.
+    Right for tokenizers that compose (NFC), lower the case, drop white space and split words from punctuation. At most `most` chunks are remembered.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,7 +69,12 @@ class ChunkTokenizer:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids, and the numbers of ids before which a sentence ends."""
-        chunks = text.replace("\n", " ").split(" ")
+        chunks = PUNCTUATED.sub(r" \1", text).replace("\n", " ")
+        low = chunks.lower()
+        # Lower case first, where the tokenizer's normaliser, which composes before it lowers, comes to the same.
+        if "Σ" not in chunks and unicodedata.is_normalized("NFC", chunks) and unicodedata.is_normalized("NFC", low):
+            chunks = low
+        chunks = chunks.split(" ")
         if len(self.codes) > self.most:
             self.clear()
         missing = [c for c in dict.fromkeys(chunks) if c not in self.codes]
@@ -78,6 +88,12 @@ class ChunkTokenizer:
         return self.ids[places], np.unique(after[self.ends[codes]])
 
 
+@lru_cache(maxsize=1)
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """One for all tasks that a Python worker runs, as most of the work is in chunks not seen before."""
+    return ChunkTokenizer(path)
+
+
 def candidate_cuts(sizes: list[int], sentence_ends: list[np.ndarray]) -> tuple[list[int], list[int]]:
     """Places of a stream where windows may end, ascending from 0 to its end, and their penalties."""
     places, penalties, base = [0], [0], 0
@@ -162,21 +178,19 @@ def pack_part(part: int, doc_ids: list, encoded: list[tuple[np.ndarray, np.ndarr
     return out.astype({"doc_id": "Int64"})
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, window: int = WINDOW, make: Callable = ChunkTokenizer) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, window: int = WINDOW, make: Callable = chunk_tokenizer) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone; a null id stands in a part of its own; rows that repeat an id are packed
     one after the other. Columns besides doc_id and text are not read. Every id lies in exactly one piece.
     """
-    kept: list[ChunkTokenizer] = []
 
     def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        if not kept:
-            kept.append(make(tokenizer_path))
+        tokenizer = make(tokenizer_path)
         group = group.sort_values(["doc_id", "text"], kind="stable")
         encoded = []
         for text in group["text"]:
-            ids, ends = kept[0].encode(text)
+            ids, ends = tokenizer.encode(text)
             encoded.append((np.append(ids, np.uint32(end_id)), ends))
         ids = [None if pd.isna(i) else int(i) for i in group["doc_id"]]
         return pack_part(int(key[0]), ids, encoded, window)

@@ -1,15 +1,28 @@
-"""The queries of this subpackage and their DuckDB twins."""
+"""The queries of this subpackage and of corpus_pipeline.py, and their DuckDB twins."""
 
 from __future__ import annotations
 
-from loomgraph.llm import q_chat_tree, q_exact_dedup, q_html_extract, q_language_id, q_line_dedup, q_mixing, q_packing, q_simhash, q_toxicity
+import corpus_pipeline
+from loomgraph.llm import (
+    q_chat_tree,
+    q_exact_dedup,
+    q_html_extract,
+    q_language_id,
+    q_line_dedup,
+    q_mixing,
+    q_ngram_join,
+    q_packing,
+    q_simhash,
+    q_toxicity,
+)
 
-MODULES = [q_toxicity, q_packing, q_chat_tree, q_mixing, q_html_extract, q_line_dedup, q_exact_dedup, q_simhash, q_language_id]
+MODULES = [q_toxicity, q_packing, q_chat_tree, q_mixing, q_html_extract, q_line_dedup, q_exact_dedup, q_simhash, q_language_id, q_ngram_join]
 
 
 def queries():
-    return {m.NAME: m.query for m in MODULES}
+    return {m.NAME: m.query for m in MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {m.NAME: m.ORACLE for m in MODULES if getattr(m, "ORACLE", None)}
+    out = {m.NAME: m.ORACLE for m in MODULES if getattr(m, "ORACLE", None)}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

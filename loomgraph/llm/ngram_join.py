@@ -9,9 +9,10 @@ least 80 % of their union.
    with too many leaves, and the mismatches bound the sizes of its partners.
 3. Contraction. Each token ties its holders to its most central one; the number of tokens that tie a pair is a lower
    bound of its overlap, and where that is enough, the link is proven without looking at the sets. Large groups of near
-   copies collapse here, from as many pairs as members.
-4. Prefixes by rarity, between components only. Rare tokens are indexed one by one. Where they don't fill a prefix, it
-   is extended into the frequent tokens, which are indexed by pairs inside hashed classes. Candidates are verified.
+   copies collapse here, from as many pairs as members. Who leads half of a class's tokens or more is its family.
+4. Inside families, between components: members that don't link with their leader are compared by their changes to it.
+5. Between families: prefixes by rarity. Rare tokens are indexed one by one. Where they don't fill a prefix, it is
+   extended into the frequent tokens, which are indexed by pairs inside hashed classes. Candidates are verified.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from loomgraph.llm.common import materialize
 from loomgraph.llm.components import components
 
 WIDTH = 5
-#: A token that more components than this hold is frequent.
+#: A token that more families than this hold is frequent.
 FREQUENT = 32
 #: Up to so many ids (8 bytes each) are broadcast to pick the texts that are read again; beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -119,14 +120,60 @@ def _linked(overlap: Column, n: Column, m: Column) -> Column:
     return 100 * overlap >= 80 * (n + m - overlap)
 
 
-def _contract(shared: DataFrame) -> DataFrame:
-    """Proven links (a, b) of classes with the most central holder of their tokens."""
+def _ties(shared: DataFrame) -> DataFrame:
+    """(lead, rep, s, n, m): s tokens of rep, of n in all, have lead, of m, as their most central holder (itself too)."""
     central = shared.groupBy("rep").agg((F.sum(F.floor(16 * F.log2("f"))) / F.first("n")).alias("c"))
-    ranked = shared.join(central, "rep")
     leader = F.max(F.struct("c", (-F.col("rep")).alias("r"), "n")).over(_over("t"))
-    ties = ranked.select("rep", "n", leader.alias("l")).select("rep", "n", (-F.col("l.r")).alias("lead"), F.col("l.n").alias("m"))
-    counted = ties.filter(F.col("rep") != F.col("lead")).groupBy("lead", "rep").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return counted.filter(_linked(F.col("s"), F.col("n"), F.col("m"))).select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    ties = shared.join(central, "rep").select("rep", "n", leader.alias("l")).select("rep", "n", (-F.col("l.r")).alias("lead"), F.col("l.n").alias("m"))
+    return ties.groupBy("lead", "rep").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"), F.first("m").alias("m"))
+
+
+def _families(ties: DataFrame) -> DataFrame:
+    """(rep, lead, m): the class that leads most of rep's tokens, and half of them at least; else rep itself."""
+    best = ties.groupBy("rep").agg(F.max(F.struct("s", (-F.col("lead")).alias("l"), "m")).alias("x"), F.first("n").alias("n"))
+    own = 2 * F.col("x.s") < F.col("n")
+    return best.select("rep", F.when(own, F.col("rep")).otherwise(-F.col("x.l")).alias("lead"), F.when(own, F.col("n")).otherwise(F.col("x.m")).alias("m"))
+
+
+def _within_families(shared: DataFrame, families: DataFrame, near: DataFrame) -> DataFrame:
+    """Links (a, b) of different components inside a family, by what its members change in their leader.
+
+    x and y link if their changes differ in at most (n_x + n_y) / 9 tokens. If x doesn't link with the leader, it has
+    more changes than that, so more than half of y's changes are among x's: the rarer half of y's, and one more, meets
+    all of x's. Pairs that both link with the leader are one component already.
+    """
+    comp = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
+    named = families.join(comp("rep"), "rep", "left").join(comp("lead"), "lead", "left")
+    named = named.withColumns({"comp": F.coalesce("comp_rep", "rep"), "comp_lead": F.coalesce("comp_lead", "lead")}).drop("comp_rep")
+    mixed = named.filter("rep <> lead").groupBy("lead").agg(F.max(F.col("comp") != F.col("comp_lead")).alias("x")).filter("x").select("lead")
+    members = materialize(named.join(mixed, "lead"))
+    own = shared.select("rep", "n", "t").join(members, "rep").select("lead", "rep", "n", "m", "t", F.lit(1).alias("side"))
+    sizes = shared.select("rep", "n").distinct().join(members.select("rep", "lead", "m"), "rep")
+    led = shared.select(F.col("rep").alias("lead"), "t").join(mixed, "lead")
+    theirs = sizes.join(led, "lead").select("lead", "rep", "n", "m", "t", F.lit(2).alias("side"))
+    sides = own.unionByName(theirs).groupBy("lead", "rep", "n", "m", "t").agg(F.sum("side").alias("side"))
+    same = F.sum(F.when(F.col("side") == 3, 1).otherwise(0)).over(_over("rep"))
+    changes = sides.withColumn("changed", F.col("n") + F.col("m") - 2 * same).filter("side < 3").join(members.select("rep", "comp", "comp_lead"), "rep")
+    changes = materialize(changes.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("lead", "t"))).drop("side", "m"))
+    known = F.count(F.lit(1)).over(_over("rep"))
+    place = F.col("changed") - known + F.row_number().over(Window.partitionBy("rep").orderBy("f", "t"))
+    half = (F.floor(F.col("changed") / 2) + 1).alias("half")
+    ys = changes.withColumns({"place": place, "half": half}).filter("place <= half AND f > 1")
+    ys = ys.select("lead", "t", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("changed").alias("ey"), F.col("comp").alias("cy"), F.col("half"))
+    xs = changes.filter("comp <> comp_lead AND f > 1").select("lead", "t", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("changed").alias("ex"), F.col("comp").alias("cx"))
+    met = ys.join(xs, ["lead", "t"]).filter("cx <> cy AND 5 * least(nx, ny) >= 4 * greatest(nx, ny)")
+    met = met.groupBy("x", "y", "nx", "ny", "ex", "ey", "half").agg(F.count(F.lit(1)).alias("c"))
+    needed = (F.col("ex") + F.col("ey") - (F.col("nx") + F.col("ny")) / 9) / 2
+    met = materialize(met.filter(F.col("c") >= needed - (F.col("ey") - F.col("half")) - 1e-6).select("x", "y", "nx", "ny", "ex", "ey"))
+    ends = met.select(F.col("x").alias("rep")).unionByName(met.select(F.col("y").alias("rep"))).distinct()
+    sets = changes.join(ends, "rep").groupBy("rep").agg(F.collect_list("t").alias("e"))
+    both = met.join(sets.select(F.col("rep").alias("x"), F.col("e").alias("sx")), "x").join(sets.select(F.col("rep").alias("y"), F.col("e").alias("sy")), "y")
+    overlap = (F.col("nx") + F.col("ny") - F.col("ex") - F.col("ey") + 2 * F.size(F.array_intersect("sx", "sy"))) / 2
+    linked = both.filter(_linked(overlap, F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # The leader's own links are not among these pairs when it belongs to another family.
+    kept = changes.select("rep", "lead", "n", "changed").distinct().join(families.select(F.col("rep"), F.col("m")), "rep")
+    to_lead = kept.filter("rep <> lead").filter(_linked((F.col("n") + F.col("m") - F.col("changed")) / 2, F.col("n"), F.col("m")))
+    return linked.unionByName(to_lead.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
 
 
 def _size_family(n: Column) -> Column:
@@ -155,7 +202,7 @@ def _index(tokens: DataFrame, frequent: int) -> DataFrame:
 
 
 def _candidates(index: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different components with a signature in common and sizes that allow a link."""
+    """Pairs (a, b) of classes of different families (comp) with a signature in common and sizes that allow a link."""
     sig = ["x", "y", "family"]
     groups = index.groupBy(*sig, "comp").agg(F.min("n").alias("low"), F.max("most").alias("high"))
     left = groups.select(*sig, F.col("comp").alias("c1"), F.col("low").alias("low1"), F.col("high").alias("high1"))
@@ -199,12 +246,16 @@ def near_duplicates(docs: DataFrame, frequent: int = FREQUENT, broadcast_ids: in
     bounds = materialize(_bounded(shared))
     shared = materialize(shared.join(bounds, "rep").select("rep", "n", "cap", "most", "t", "f"))
 
-    proven = materialize(_contract(shared))
-    near = components(proven)
-    placed = shared.join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    ties = materialize(_ties(shared))
+    linked = _linked(F.col("s"), F.col("n"), F.col("m"))
+    proven = materialize(ties.filter((F.col("rep") != F.col("lead")) & linked).select(F.col("rep").alias("a"), F.col("lead").alias("b")))
+    families = materialize(_families(ties))
+    near = materialize(components(proven))
+    inside = _within_families(shared, families, near)
+    placed = shared.join(families.select("rep", F.col("lead").alias("comp")), "rep")
     spread = placed.select("t", "comp").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("comps"))
     index = materialize(_index(placed.join(spread, "t"), frequent))
-    links = _verified(_candidates(index), shared)
+    links = _verified(_candidates(index), shared).unionByName(inside)
     found = materialize(components(proven.unionByName(links)))
 
     labels = classes.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")

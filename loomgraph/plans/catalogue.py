@@ -8,3 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable:
+    """Register a function under its name, with its DuckDB twin."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+from loomgraph.plans import graph_queries, relational_queries, text_queries  # noqa: E402,F401

@@ -156,15 +156,16 @@ def _within_families(shared: DataFrame, families: DataFrame, near: DataFrame) ->
     changes = sides.withColumn("changed", F.col("n") + F.col("m") - 2 * same).filter("side < 3").join(members.select("rep", "comp", "comp_lead"), "rep")
     changes = materialize(changes.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("lead", "t"))).drop("side", "m"))
     known = F.count(F.lit(1)).over(_over("rep"))
+    # Rarest first; changes that are not in the table are nobody else's and stand before all.
     place = F.col("changed") - known + F.row_number().over(Window.partitionBy("rep").orderBy("f", "t"))
-    half = (F.floor(F.col("changed") / 2) + 1).alias("half")
-    ys = changes.withColumns({"place": place, "half": half}).filter("place <= half AND f > 1")
-    ys = ys.select("lead", "t", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("changed").alias("ey"), F.col("comp").alias("cy"), F.col("half"))
-    xs = changes.filter("comp <> comp_lead AND f > 1").select("lead", "t", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("changed").alias("ex"), F.col("comp").alias("cx"))
-    met = ys.join(xs, ["lead", "t"]).filter("cx <> cy AND 5 * least(nx, ny) >= 4 * greatest(nx, ny)")
-    met = met.groupBy("x", "y", "nx", "ny", "ex", "ey", "half").agg(F.count(F.lit(1)).alias("c"))
-    needed = (F.col("ex") + F.col("ey") - (F.col("nx") + F.col("ny")) / 9) / 2
-    met = materialize(met.filter(F.col("c") >= needed - (F.col("ey") - F.col("half")) - 1e-6).select("x", "y", "nx", "ny", "ex", "ey"))
+    half = F.floor(F.col("changed") / 2) + 1
+    placed = changes.withColumns({"place": place, "half": half}).filter("f > 1")
+    side = lambda df, k: df.select("lead", "t", F.col("rep").alias(k), *[F.col(c).alias(f"{a}{k}") for c, a in (("n", "n"), ("changed", "e"), ("comp", "c"), ("place", "p"))])
+    ys, xs = side(placed.filter("place <= half"), "y"), side(placed.filter("comp <> comp_lead"), "x")
+    # The first change that a linked pair shares leaves room for all that it has to share.
+    needed = "(ex + ey - (nx + ny) / 9) / 2"
+    fits = f"cx <> cy AND 5 * least(nx, ny) >= 4 * greatest(nx, ny) AND px <= ex - {needed} + 1.000001 AND py <= ey - {needed} + 1.000001"
+    met = materialize(ys.join(xs, ["lead", "t"]).filter(fits).select("x", "y", "nx", "ny", "ex", "ey").distinct())
     ends = met.select(F.col("x").alias("rep")).unionByName(met.select(F.col("y").alias("rep"))).distinct()
     sets = changes.join(ends, "rep").groupBy("rep").agg(F.collect_list("t").alias("e"))
     both = met.join(sets.select(F.col("rep").alias("x"), F.col("e").alias("sx")), "x").join(sets.select(F.col("rep").alias("y"), F.col("e").alias("sy")), "y")

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACES, text_or_empty
+from loomgraph.llm.common import SPACES, materialize, text_or_empty
 
 #: Bits of a fingerprint; two 64-bit hashes of each term vote.
 BITS = 128
@@ -15,6 +15,8 @@ LANES = 32
 LANE_MASK = 0x0000000100000001
 #: Neighbouring ids that are dealt to one task.
 NEIGHBOURS = 1024
+#: Up to so many parts (three columns each) are broadcast to find their first documents; beyond it they are joined by shuffle.
+BROADCAST_FIRSTS = 500_000
 
 
 def terms(text: Column) -> Column:
@@ -81,7 +83,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy(F.lit(1)))).alias("to"),
         F.lag("part").over(order).isNull().alias("wraps"),
     )
-    heads = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("first_id"), "doc_id", "text").join(firsts, "first_id")
+    firsts = materialize(firsts)
+    few = firsts.count() <= BROADCAST_FIRSTS
+    heads = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("first_id"), "doc_id", "text").join(F.broadcast(firsts) if few else firsts, "first_id")
     heads = heads.select("doc_id", "text", F.col("to").alias("part"), F.lit(True).alias("helper"))
     rows = rows.withColumn("helper", F.lit(False)).unionByName(heads)
     here = Window.partitionBy("part").orderBy("helper", F.col("doc_id").asc_nulls_first(), "text")

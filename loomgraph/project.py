@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.textfn import like_ascii, normalize
 from loomgraph.operators import graph
 from loomgraph.operators.extract import Facts, extract
-from loomgraph.operators.relational import count_where, staged_union
+from loomgraph.operators.relational import count_where, staged_union, top_k
 from loomgraph.operators.resolve import edges, resolve_calls
 from loomgraph.sources.export import scan
 from loomgraph.sources.store import cut
@@ -18,19 +18,20 @@ class Project:
     """Facts, resolved calls and edges of one export; every answer is a DataFrame."""
 
     def __init__(self, spark: SparkSession, root: str, built_ins: frozenset[str] = frozenset(), platform: frozenset[str] = frozenset()):
-        self.spark = spark
+        self.spark, self.root = spark, root
         self.files = cut(scan(spark, root))
         self.facts: Facts = extract(self.files)
         self.calls_table = cut(resolve_calls(self.facts, built_ins, platform))
         self.edges = cut(edges(self.facts, self.calls_table))
 
     def entities(self) -> DataFrame:
-        """kind, id, name, full_name, exported of metadata, modules and symbols."""
-        f = self.facts
-        objects = f.objects.select(F.lit("metadata").alias("kind"), F.col("object_id").alias("id"), "name", "full_name", F.lit(False).alias("exported"))
-        modules = f.modules.select(F.lit("module").alias("kind"), F.col("module_id").alias("id"), "name", "full_name", F.lit(False).alias("exported"))
+        """kind, id, name, full_name, exported, synonym, details of metadata, modules and symbols."""
+        f, none = self.facts, F.lit(None).cast("string")
+        what = lambda first, label, value: F.concat(F.lit("kind="), first, F.lit(f"; {label}="), F.coalesce(value, F.lit("-"))).alias("details")
+        objects = f.objects.select(F.lit("metadata").alias("kind"), F.col("object_id").alias("id"), "name", "full_name", F.lit(False).alias("exported"), "synonym", what(F.col("kind"), "synonym", F.col("synonym")))
+        modules = f.modules.select(F.lit("module").alias("kind"), F.col("module_id").alias("id"), "name", "full_name", F.lit(False).alias("exported"), none.alias("synonym"), what(F.col("module_kind"), "owner", F.col("owner_name")))
         owner = f.modules.select("module_id", F.col("full_name").alias("owner"))
-        symbols = f.symbols.join(owner, "module_id").select(F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id"), "name", F.concat_ws(".", "owner", "name").alias("full_name"), F.col("is_export").alias("exported"))
+        symbols = f.symbols.join(owner, "module_id").select(F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id"), "name", F.concat_ws(".", "owner", "name").alias("full_name"), F.col("is_export").alias("exported"), none.alias("synonym"), what(F.col("kind"), "directive", F.col("directive")))
         return objects.unionByName(modules).unionByName(symbols)
 
     def find(self, term: str, limit: int = 100) -> DataFrame:
@@ -43,9 +44,20 @@ class Project:
         found = staged_union([symbols.drop("term"), exact.drop("term")], ["full_name", "id"], limit)
         if not found.isEmpty():
             return found
-        return staged_union([self.entities().filter(like_ascii("name", term) | like_ascii("full_name", term))], ["full_name", "id"], limit)
+        return staged_union([self.entities().filter(like_ascii("name", term) | like_ascii("full_name", term) | F.coalesce(like_ascii("synonym", term), F.lit(False)))], ["full_name", "id"], limit)
 
-    def _symbols_of(self, found: DataFrame) -> DataFrame:
+    def symbols_for_entities(self, found: DataFrame, per_entity: int = 20) -> DataFrame:
+        """Symbols found, and at most per_entity of each module or object: those with a directive first, then exported ones."""
+        asked = found.select(F.col("kind").alias("asked_kind"), F.col("id").alias("asked_id"))
+        own = asked.filter("asked_kind = 'module'").withColumn("module_id", F.col("asked_id"))
+        holds = self.edges.filter("relation = 'contains_module'").select(F.col("source_id").alias("asked_id"), F.col("target_id").alias("module_id"))
+        modules = own.unionByName(asked.filter("asked_kind = 'metadata'").join(holds, "asked_id").select(*own.columns))
+        order = [F.col("directive").isNull(), F.col("is_export").desc(), "line_start", "symbol_id"]
+        held = top_k(self.facts.symbols.join(modules, "module_id"), ["asked_kind", "asked_id"], order, per_entity).select(F.col("symbol_id").alias("id"))
+        ids = held.unionByName(found.filter("kind = 'symbol'").select("id")).distinct()
+        return self.entities().filter("kind = 'symbol'").join(ids, "id", "left_semi")
+
+    def symbols_of(self, found: DataFrame) -> DataFrame:
         """node: the symbols found, and those of the modules and objects found."""
         direct = found.filter("kind = 'symbol'").select(F.col("id").alias("node"))
         modules = found.filter("kind = 'module'").select(F.col("id").alias("module_id"))
@@ -58,7 +70,7 @@ class Project:
         if depth < 1:
             raise ValueError("depth must be at least 1")
         links = self.calls_table.select(F.col("caller_id").alias("caller"), F.col("resolved_id").alias("callee"), "name", "resolution", "path", "line", "column")
-        rows = graph.calls(links, self._symbols_of(self.find(term, 50)), direction, depth)
+        rows = graph.calls(links, self.symbols_of(self.find(term, 50)), direction, depth)
         return rows.orderBy("depth", "direction", "path", "line", "column", "name").limit(limit)
 
     def impact(self, term: str, depth: int = 2, limit: int = 500) -> DataFrame:

@@ -1,7 +1,12 @@
 """A small export from files to answers."""
 
+import json
+from pathlib import Path
+
 import pytest
 
+from loomgraph.ask import Answer, AskError, ask, plan, prefers_code, prompt_context, search_terms
+from loomgraph.context import build_context, write_context, write_snapshot
 from loomgraph.functions.metadata_parser import parse_metadata
 from loomgraph.functions.module_parser import parse_module
 from loomgraph.project import Project
@@ -87,3 +92,61 @@ def test_answers(project):
     assert project.audit("name").first().value == "Свернуть"
     with pytest.raises(ValueError):
         project.calls("x", depth=0)
+
+
+def test_context_package(project, tmp_path):
+    package = json.loads(write_context(project, "Склады.Остатки", tmp_path / "a" / "context.json").read_text(encoding="utf-8"))
+    assert [m["full_name"] for m in package["matches"]] == ["Склады.Остатки"]
+    units = package["source_units"]
+    assert units[0]["symbol"] == "Склады.Остатки" and (units[0]["line_start"], units[0]["line_end"]) == (1, 10)
+    assert units[0]["source"] == "\n".join(COMMON.split("\n")[0:10])
+    assert {u["symbol"].rpartition(".")[2] for u in units} == {"Остатки", "Вложенная", "ОбработкаПроведения"}
+    assert {c["caller_name"] for c in package["calls"]} >= {"Склады.Остатки", "Склады.Вложенная"}
+    assert [q["tables"][0]["name"] for q in package["queries"]] == ["РегистрНакопления.Запасы.Остатки"]
+    assert {u["call"] for u in package["unresolved_near_context"]} == {"Свернуть", "Неизвестно.Метод"}
+    small = build_context(project, "Склады.Остатки", max_chars=50)
+    assert small["limits"]["actual_source_characters"] == 50 and len(small["source_units"]) == 1
+    nothing = build_context(project, "НетТакого")
+    assert nothing["matches"] == nothing["source_units"] == nothing["calls"] == nothing["impact"] == []
+
+
+def test_symbols_for_entities(project):
+    modules = project.entities().filter("kind = 'module' AND name = 'Склады'")
+    assert [r.name for r in project.symbols_for_entities(modules, 1).collect()] == ["Остатки"]
+    assert project.symbols_for_entities(modules).count() == 2
+
+
+def test_snapshot(project, spark, tmp_path):
+    folders = write_snapshot(project, str(tmp_path / "snap"))
+    assert spark.read.json(folders["symbols"]).count() == 3 and spark.read.json(folders["summary"]).first().metadata == 5
+
+
+def test_planner_and_runs(project, tmp_path):
+    terms, roots = search_terms('Как формирует остатки метод Склады.Остатки и "Заказ"?')
+    assert terms[:2] == ["Склады.Остатки", "Заказ"] and "остатк" in roots
+    assert prefers_code("Как это") and not prefers_code("Товары")
+    best = plan(project, "Как считаются остатки в модуле?")
+    assert best.selected_term == "Склады.Остатки" and best.matches[0]["score"] > best.matches[1]["score"]
+    assert plan(project, "x", term="Остатки").matches[0]["score"] == 10_000
+    with pytest.raises(AskError):
+        plan(project, " ")
+    assert ask(project, "Как считаются остатки?", tmp_path)["status"] == "prepared"
+
+    class Fake:
+        def answer(self, **request):
+            assert "Склады.Остатки" in request["input_text"]
+            return Answer("готово", total_tokens=3)
+
+    run = ask(project, "Как считаются остатки?", tmp_path, Fake(), model="m")
+    kept = json.loads((Path(run["folder"]) / "run.json").read_text(encoding="utf-8"))
+    assert (kept["status"], kept["provider"]["total_tokens"], kept["answer"]) == ("completed", 3, "готово")
+    with pytest.raises(AskError):
+        ask(project, "qqqzzz", tmp_path)
+
+
+def test_prompt_budget():
+    row = {"x": "y" * 50}
+    package = {"schema": "s", "unresolved_near_context": [row] * 200, "impact": [row] * 10, "calls": [], "queries": [], "source_units": [{"source": "z" * 30_000}]}
+    assert len(prompt_context(package, 20_000)) <= 20_000
+    with pytest.raises(AskError):
+        prompt_context(package | {"source_units": [{"source": "z" * 800}] * 50}, 20_000)

@@ -138,9 +138,9 @@ def _families(ties: DataFrame) -> DataFrame:
 def _within_families(shared: DataFrame, families: DataFrame, near: DataFrame) -> DataFrame:
     """Links (a, b) of different components inside a family, by what its members change in their leader.
 
-    x and y link if their changes differ in at most (n_x + n_y) / 9 tokens. If x doesn't link with the leader, it has
-    more changes than that, so more than half of y's changes are among x's: the rarer half of y's, and one more, meets
-    all of x's. Pairs that both link with the leader are one component already.
+    x and y link if their changes differ in at most (n_x + n_y) / 9 tokens. If x doesn't link with the leader, of m, it
+    has more than (n_x + m) / 9 changes, so of y's changes fewer than (changed + (n_y - m) / 9) / 2 are not among x's:
+    so many of y's rarest, and one more, meet all of x's. Pairs that both link with the leader are one component already.
     """
     comp = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
     named = families.join(comp("rep"), "rep", "left").join(comp("lead"), "lead", "left")
@@ -154,14 +154,15 @@ def _within_families(shared: DataFrame, families: DataFrame, near: DataFrame) ->
     sides = own.unionByName(theirs).groupBy("lead", "rep", "n", "m", "t").agg(F.sum("side").alias("side"))
     same = F.sum(F.when(F.col("side") == 3, 1).otherwise(0)).over(_over("rep"))
     changes = sides.withColumn("changed", F.col("n") + F.col("m") - 2 * same).filter("side < 3").join(members.select("rep", "comp", "comp_lead"), "rep")
-    changes = materialize(changes.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("lead", "t"))).drop("side", "m"))
+    changes = materialize(changes.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("lead", "t"))).drop("side"))
     known = F.count(F.lit(1)).over(_over("rep"))
     # Rarest first; changes that are not in the table are nobody else's and stand before all.
     place = F.col("changed") - known + F.row_number().over(Window.partitionBy("rep").orderBy("f", "t"))
-    half = F.floor(F.col("changed") / 2) + 1
-    placed = changes.withColumns({"place": place, "half": half}).filter("f > 1")
+    # Ninths are kept whole, so that no rounding shortens what is indexed.
+    most = F.floor((9 * F.col("changed") + F.greatest(F.col("n") - F.col("m"), F.lit(0))) / 18) + 1
+    placed = changes.withColumns({"place": place, "indexed": most}).filter("f > 1")
     side = lambda df, k: df.select("lead", "t", F.col("rep").alias(k), *[F.col(c).alias(f"{a}{k}") for c, a in (("n", "n"), ("changed", "e"), ("comp", "c"), ("place", "p"))])
-    ys, xs = side(placed.filter("place <= half"), "y"), side(placed.filter("comp <> comp_lead"), "x")
+    ys, xs = side(placed.filter("place <= indexed"), "y"), side(placed.filter("comp <> comp_lead"), "x")
     # The first change that a linked pair shares leaves room for all that it has to share.
     needed = "(ex + ey - (nx + ny) / 9) / 2"
     fits = f"cx <> cy AND 5 * least(nx, ny) >= 4 * greatest(nx, ny) AND px <= ex - {needed} + 1.000001 AND py <= ey - {needed} + 1.000001"

@@ -125,6 +125,19 @@ def test_ngram_join_against_brute_force(spark):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_ngram_join_links_members_where_one_is_larger_than_the_leader(spark):
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    leader, z = words("a", 1004), words("z", 52)  # z: 48 shingles
+    y, x = leader + z + words("y", 48), leader[:854] + z + words("x", 18)
+    rows = [(1 + i, " ".join(leader + words(f"c{i}_", 1))) for i in range(5)] + [(10, " ".join(leader)), (20, " ".join(y)), (30, " ".join(x))]
+    sets = {i: set(ngram_join.shingle_set(t).tolist()) for i, t in rows}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert [len(sets[i]) for i in (10, 20, 30)] == [1000, 1100, 920]
+    assert share(20, 30) >= 0.8 and max(share(30, i) for i in sets if i not in (20, 30)) < 0.8
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: 1 for i in sets}
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

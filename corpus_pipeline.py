@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import line_dedup as lines
@@ -36,13 +36,23 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents as often as their source's target says, in training order."""
+    """Takes documents as often as their source's target says, in training order: that of the rows of the table."""
     return mixing.mix(docs).select(*COLUMNS)
 
 
+def in_table_order(docs: DataFrame) -> DataFrame:
+    """docs, read from a table that was written range-sorted, with `order`: the number of each row in that table."""
+    rows = docs.select(*docs.columns, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).try_cast("long")
+    earlier = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg((F.max("row") + 1).alias("n"))  # one row per file: the window is small
+    files = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(files), "file").withColumn("order", F.col("before") + F.col("row")).drop("file", "row", "before")
+
+
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 2048 tokens; one row per piece."""
-    return packing.pack(docs, tokenizer_path())
+    """Packs what is left, in the training order, into sequences of at most 2048 tokens; one row per piece."""
+    return packing.pack(in_table_order(docs), tokenizer_path(), order="order")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,7 +1,7 @@
 """Order-preserving packing of token streams into windows by dynamic programming.
 
-Documents are taken in the order of their ids. Within a part of neighbouring ids their tokens form one stream; a window
-ends at a document's or a sentence's end, or, where there is none for long, inside a sentence. The cost of a cut is the
+Documents are taken in the order of their ids or of a given column. Within a part of neighbours their tokens form one
+stream; a window ends at a document's or a sentence's end, or, where there is none for long, inside a sentence. The cost of a cut is the
 padding of its window plus a penalty for what it truncates; the transition is a minimum over a sliding range of earlier
 cuts, which a monotone queue answers in constant time each.
 """
@@ -178,16 +178,19 @@ def pack_part(part: int, doc_ids: list, encoded: list[tuple[np.ndarray, np.ndarr
     return out.astype({"doc_id": "Int64"})
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, window: int = WINDOW, make: Callable = chunk_tokenizer) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, window: int = WINDOW, make: Callable = chunk_tokenizer, order: str = "doc_id") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone; a null id stands in a part of its own; rows that repeat an id are packed
-    one after the other. Columns besides doc_id and text are not read. Every id lies in exactly one piece.
+    one after the other. Columns besides doc_id, text and `order` are not read. Every id lies in exactly one piece.
+
+    `order` names a column of whole numbers that documents are taken by; by it neighbours are put in parts, and parts in
+    the order of sequence_id.
     """
 
     def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         tokenizer = make(tokenizer_path)
-        group = group.sort_values(["doc_id", "text"], kind="stable")
+        group = group.sort_values(["order", "doc_id", "text"], kind="stable")
         encoded = []
         for text in group["text"]:
             ids, ends = tokenizer.encode(text)
@@ -195,6 +198,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, window: int
         ids = [None if pd.isna(i) else int(i) for i in group["doc_id"]]
         return pack_part(int(key[0]), ids, encoded, window)
 
-    part = F.floor(F.coalesce("doc_id", F.lit(-1)) / NEIGHBOURS).cast("long")
-    rows = docs.select("doc_id", text_or_empty().alias("text"), part.alias("part"))
+    part = F.floor(F.coalesce(order, F.lit(-1)) / NEIGHBOURS).cast("long")
+    rows = docs.select("doc_id", text_or_empty().alias("text"), F.col(order).alias("order"), part.alias("part"))
     return rows.groupBy("part").applyInPandas(packed, PIECES)

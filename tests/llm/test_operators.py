@@ -229,6 +229,19 @@ def test_toxicity_grammar():
     assert scorer.score(None) == scorer.score("") and scorer.score("kill the lights")[0] < 0.2 < scorer.score("I will kill you, idiot")[0]
 
 
+def test_pipeline_packs_in_training_order(spark):
+    import corpus_pipeline as p
+    from loomgraph.llm.common import materialize
+
+    rng = random.Random(10)
+    rows = [(i, " ".join(["word"] * rng.randrange(1, 30)), "en", s, 0) for i, s in enumerate(rng.choices("abc", [70, 25, 5], k=1500))]
+    d = spark.createDataFrame(rows, DOCS)
+    want = [r.doc_id for r in sorted(mixing.mix(d).collect(), key=lambda r: (r.position, r.doc_id))]
+    pieces = p.stage_packing(spark, materialize(p.stage_mixing(spark, d, "")), "").collect()
+    got = [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert got == want and len(want) > len(set(want)) and want != sorted(want)
+
+
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_odd_rows_and_extra_columns(spark, rows):
     from pyspark.sql import functions as F

@@ -41,6 +41,26 @@ def longest_prefix_join(raws: DataFrame, raw: str, aliases: DataFrame, alias: st
     return raws.join(best.select(raw, f"m.{alias}", f"m.{value}"), raw, "left")
 
 
+def smallest_around(points: DataFrame, point: str, spans: DataFrame, value: str) -> DataFrame:
+    """points with the smallest `value` of spans(value, lo, hi) with lo <= point <= hi; null where there is none.
+
+    A span is the union of few aligned ranges of 2^k numbers, at most two of each k. Of spans with the same range the
+    smallest value stays, and a point looks up its one range of each k, so neither long nor many spans multiply rows.
+    """
+    levels = F.explode(F.sequence(F.lit(0), F.lit(62))).alias("__k")
+    one = F.lit(1).cast("long")
+    rows = spans.filter("lo <= hi").select(value, F.col("lo").cast("long").alias("lo"), (F.col("hi").cast("long") + 1).alias("end"), levels)
+    # What is left of a span at level k is [a, b) in units of 2^k; an odd a, or an odd b, leaves no larger range to its unit.
+    rows = rows.withColumns({"a": -F.expr("shiftright(-lo, __k)"), "b": F.expr("shiftright(end, __k)")}).filter("a < b")
+    ends = F.array(F.when(F.col("a").bitwiseAND(one) == 1, F.col("a")), F.when(F.col("b").bitwiseAND(one) == 1, F.col("b") - 1))
+    ranges = rows.select(value, "__k", F.explode(F.array_compact(ends)).alias("__cell"))
+    ranges = ranges.groupBy("__k", "__cell").agg(F.min(value).alias(value))
+    used = F.broadcast(ranges.select("__k").distinct())
+    looked = points.select(point).distinct().crossJoin(used).withColumn("__cell", F.expr(f"shiftright(CAST(`{point}` AS BIGINT), __k)"))
+    best = looked.join(ranges, ["__k", "__cell"]).groupBy(point).agg(F.min(value).alias(value))
+    return points.join(best, point, "left")
+
+
 def running_budget(df: DataFrame, keys: list[str], order: list[str | Column], text: str, most_chars: int, most_units: int) -> DataFrame:
     """Units in order while fewer than most_chars are used, most_units at most; the last is cut. Adds unit and used.
 

@@ -156,6 +156,15 @@ def q_line_in_symbol(spark, d):
     return found.select("event_id", "symbol")
 
 
+# The lookup above is over a part of the lines and symbols, this one over all.
+@query("""WITH s AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1)
+SELECT event_id, (SELECT min(user_id) FROM s WHERE events.event_id BETWEEN lo AND hi) AS symbol FROM events""")
+def q_line_in_symbol_all(spark, d):
+    events = table(spark, d, "events")
+    spans = events.groupBy(F.col("user_id").alias("symbol")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    return R.smallest_around(events.select("event_id"), "event_id", spans, "symbol")
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def q_frontier_semi(spark, d):
     urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))

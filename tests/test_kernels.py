@@ -56,3 +56,21 @@ def test_catalog_diff_and_rejects(spark):
     rows = spark.createDataFrame([("A", 1), ("B", 1), ("A", 2), ("C", 2), ("D", 3)], "name string, file long")
     assert {(r.name, r.file): r.rejected for r in R.reject_repeats(rows, ["name"], "file", ["file"]).collect()} == {("A", 1): False, ("B", 1): False, ("A", 2): True, ("C", 2): True, ("D", 3): False}
     assert R.catalog_diff(disk.limit(0), stored.limit(0), "path", ["size"], "sum").count() == 0
+
+
+def test_smallest_around_against_brute_force(spark):
+    rng = random.Random(11)
+    spans = [(v, lo := rng.randrange(-40, 5000), lo + rng.choice([-1, 0, 1, 7, 300, 2000])) for v in range(60)]
+    points = [*range(-60, 200), *range(1900, 7100, 7), 2000, None]
+    frame = R.smallest_around(spark.createDataFrame([(p,) for p in points], "p long"), "p", spark.createDataFrame(spans, "v long, lo long, hi long"), "v")
+    want = [(p, None if p is None else min((v for v, lo, hi in spans if lo <= p <= hi), default=None)) for p in points]
+    assert sorted(map(repr, ((r.p, r.v) for r in frame.collect()))) == sorted(map(repr, want))
+
+
+def test_every_line_is_looked_up_in_every_symbol(spark, tmp_path):
+    from loomgraph.plans import catalogue
+
+    rows = [(i, i // 50 + 1) for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.symbol for r in catalogue.QUERIES["q_line_in_symbol_all"](spark, str(tmp_path)).collect()}
+    assert got == dict(rows)

@@ -74,3 +74,13 @@ def test_every_line_is_looked_up_in_every_symbol(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: r.symbol for r in catalogue.QUERIES["q_line_in_symbol_all"](spark, str(tmp_path)).collect()}
     assert got == dict(rows)
+
+
+def test_query_kind_of_rows_beyond_ascii(spark, tmp_path):
+    from loomgraph.plans import catalogue
+
+    texts = {"à un ami": "update", "für der Weg": "delete", "él, los niños": "insert", "éun unä": None, "«the»": "select", "the end": "select", "été": None, None: None}
+    rows = [(i, 0, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.kind for r in catalogue.QUERIES["q_query_kind_all"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(texts.values()))

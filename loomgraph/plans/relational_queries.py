@@ -156,6 +156,17 @@ def q_line_in_symbol(spark, d):
     return found.select("event_id", "symbol")
 
 
+# Every page's alias counts here, not a quarter of them.
+@query("""WITH raw AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS raw FROM pages), alias AS (
+  SELECT a, min(id) AS id FROM (SELECT substr(regexp_replace(url, '^https?://', ''), 1, 22 + (page_id % 9)::INT) AS a, page_id AS id FROM pages) GROUP BY a)
+SELECT page_id, arg_max(a, length(a)) AS alias, arg_max(id, length(a)) AS target FROM raw LEFT JOIN alias ON starts_with(raw, a) AND length(a) > 4 GROUP BY page_id""")
+def q_longest_prefix_all(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("raw"))
+    part = F.substring(F.col("raw"), F.lit(1), (22 + F.col("page_id") % 9).cast("int"))
+    aliases = pages.groupBy(part.alias("alias")).agg(F.min("page_id").alias("target"))
+    return R.longest_prefix_join(pages, "raw", aliases, "alias", "target").select("page_id", "alias", "target")
+
+
 # The lookup above is over a part of the lines and symbols, this one over all.
 @query("""WITH s AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1)
 SELECT event_id, (SELECT min(user_id) FROM s WHERE events.event_id BETWEEN lo AND hi) AS symbol FROM events""")
@@ -189,6 +200,24 @@ def q_unique_candidate(spark, d):
     return sole.select("l_orderkey", "l_linenumber", "id", F.lit("cross_project_candidate").alias("resolution"))
 
 
+# All lines are resolved here. Candidates are counted per name and brand, so a group of many parts makes no pairs.
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, t.p_partkey AS id, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n
+  FROM lineitem JOIN part s ON l_partkey = s.p_partkey JOIN part t ON t.p_name = s.p_name AND t.p_size = s.p_size AND t.p_brand <> s.p_brand)
+SELECT l_orderkey, l_linenumber, id, 'cross_project_candidate' AS resolution FROM c WHERE n = 1""")
+def q_unique_candidate_all(spark, d):
+    part = table(spark, d, "part").filter("p_brand IS NOT NULL")
+    brands = part.groupBy("p_name", "p_size", "p_brand").agg(F.count(F.lit(1)).alias("own"), F.min("p_partkey").alias("id"))
+    brand = F.struct("p_brand", "id")
+    names = brands.groupBy("p_name", "p_size").agg(F.sum("own").alias("all"), F.min(brand).alias("a"), F.max(brand).alias("b"))
+    # With one candidate there are two brands, and the other one has one part.
+    other = F.when(F.col("a.p_brand") == F.col("p_brand"), F.col("b.id")).otherwise(F.col("a.id"))
+    sole = brands.join(names, ["p_name", "p_size"]).select("p_name", "p_size", "p_brand", (F.col("all") - F.col("own")).alias("others"), other.alias("id"))
+    calls = part.select("p_partkey", "p_name", "p_size", "p_brand").join(sole.filter("others > 0"), ["p_name", "p_size", "p_brand"])
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(calls, "p_partkey")
+    met = lines.groupBy("l_orderkey", "l_linenumber").agg(F.sum("others").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return met.select("l_orderkey", "l_linenumber", "id", F.lit("cross_project_candidate").alias("resolution"))
+
+
 @query("""SELECT p.p_partkey, (SELECT min(e.p_partkey) FROM part e WHERE e.p_brand = p.p_brand AND e.p_type = p.p_type AND e.p_size % 10 = 0 AND (starts_with(e.p_name, split_part(p.p_name, ' ', 1)) OR starts_with(p.p_name, split_part(e.p_name, ' ', 1)))) AS edge FROM part p""")
 def q_bidirectional_prefix(spark, d):
     part = table(spark, d, "part")
@@ -198,6 +227,19 @@ def q_bidirectional_prefix(spark, d):
     return met.groupBy("p_partkey").agg(F.min(F.when(either, F.col("edge"))).alias("edge"))
 
 
+# Every part is an edge here. The prefixes of names meet first words in equi-joins, both ways.
+@query("""SELECT p.p_partkey, (SELECT min(e.p_partkey) FROM part e WHERE e.p_brand = p.p_brand AND e.p_type = p.p_type AND (starts_with(e.p_name, split_part(p.p_name, ' ', 1)) OR starts_with(p.p_name, split_part(e.p_name, ' ', 1)))) AS edge FROM part p""")
+def q_bidirectional_prefix_all(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_name", textfn.first_segment("p_name", " ").alias("first"))
+    prefixes = part.withColumn("n", F.explode(F.sequence(F.lit(0), F.length("p_name"))))
+    prefixes = prefixes.withColumn("prefix", F.substring(F.col("p_name"), F.lit(1), F.col("n")))
+    begun = prefixes.groupBy("p_brand", "p_type", F.col("prefix").alias("first")).agg(F.min("p_partkey").alias("one"))
+    firsts = part.groupBy("p_brand", "p_type", F.col("first").alias("prefix")).agg(F.min("p_partkey").alias("edge"))
+    reached = prefixes.join(firsts, ["p_brand", "p_type", "prefix"]).groupBy("p_partkey").agg(F.min("edge").alias("two"))
+    met = part.join(begun, ["p_brand", "p_type", "first"], "left").join(reached, "p_partkey", "left")
+    return met.select("p_partkey", F.least("one", "two").alias("edge"))
+
+
 @query("""WITH o AS (SELECT n_name, o_orderkey, row_number() OVER (PARTITION BY n_name ORDER BY o_totalprice DESC, o_orderkey) AS r
   FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE r_name = 'ASIA')
 SELECT n_name, o_orderkey, r::BIGINT AS rank FROM o WHERE r <= 24""")

@@ -84,3 +84,39 @@ def test_query_kind_of_rows_beyond_ascii(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r.kind for r in catalogue.QUERIES["q_query_kind_all"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(texts.values()))
+
+
+def test_joins_over_all_rows_against_brute_force(spark, tmp_path):
+    from loomgraph.plans import catalogue
+
+    rng = random.Random(12)
+    parts = [(i, rng.choice(["red", "red pin", "re pin", " x", "blue nut", "pin"]), rng.choice(["A", "B", "C", None]), rng.choice(["T", "U"]), rng.randrange(1, 6)) for i in range(40)]
+    lines = [(i, 1 + i % 4, rng.randrange(40)) for i in range(120)]
+    pages = [(i, "https://" + "abcdefgh.example/" + "x" * rng.randrange(20)) for i in range(30)]
+    for name, rows, schema in [
+        ("part", parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"),
+        ("lineitem", lines, "l_orderkey long, l_linenumber int, l_partkey long"),
+        ("pages", pages, "page_id long, url string"),
+    ]:
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda q: catalogue.QUERIES[q](spark, str(tmp_path)).collect()
+
+    want = {}
+    for order, line, key in lines:
+        _, name, brand, _, size = parts[key]
+        met = [p[0] for p in parts if p[1] == name and p[4] == size and brand and p[2] and p[2] != brand]
+        if len(met) == 1:
+            want[order, line] = met[0]
+    assert {(r.l_orderkey, r.l_linenumber): r.id for r in run("q_unique_candidate_all")} == want
+    assert {line for _, line in want} == {1, 2, 3, 4}
+
+    either = lambda p, e: e[1].startswith(p[1].split(" ")[0]) or p[1].startswith(e[1].split(" ")[0])
+    want = {p[0]: min((e[0] for e in parts if p[2] and p[2:4] == e[2:4] and either(p, e)), default=None) for p in parts}
+    assert {r.p_partkey: r.edge for r in run("q_bidirectional_prefix_all")} == want
+
+    raw = {i: url[8:] for i, url in pages}
+    aliases = {}
+    for i, r in raw.items():
+        aliases.setdefault(r[: 22 + i % 9], i)
+    want = {i: max(((len(a), a, t) for a, t in aliases.items() if r.startswith(a)), default=(0, None, None))[1:] for i, r in raw.items()}
+    assert {r.page_id: (r.alias, r.target) for r in run("q_longest_prefix_all")} == want

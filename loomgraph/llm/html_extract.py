@@ -2,8 +2,9 @@
 
 Every text node belongs to the path of block elements (and links) from the root to it. Per path, characters and
 punctuation marks per node are aggregated, smoothed over neighbouring nodes in page order, fused into one score and
-held against a threshold. The smallest element with nearly all text of the accepted paths is the content root; under
-it every block that no boilerplate element encloses is main text.
+held against a threshold. The smallest element with nearly all text of the accepted paths leads to the content root:
+the article or main element around it, or else, from an element that is only a part of a text (a list, a table, a
+section ...), the one with all accepted text. Under it every block that no boilerplate element encloses is main text.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ CLOSES = {
     "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a page's content: words of their class or id say what is on the page, not what they are.
+CONTENT = frozenset("html body main article".split())
+#: Elements that are parts of a text, and so are div elements without class and id.
+PARTS = HEADINGS | frozenset("p li td th dd dt tr ul ol dl dir table thead tbody tfoot caption pre blockquote section figure figcaption details summary address center hgroup".split())
 #: Smoothing weights of a node's neighbours; the accepted share of the best path's score; the root's share of accepted text.
 SMOOTH = (0.25, 0.5, 0.25)
 ACCEPT = 0.1
@@ -59,6 +64,7 @@ class Element:
     parent: "Element | None"
     boilerplate: bool
     depth: int
+    named: bool = False
 
 
 @dataclass
@@ -70,12 +76,12 @@ class Block:
     text: str = ""
 
 
-def is_marked(attributes: str) -> bool:
-    """Whether class, id or role words name boilerplate, or the element is hidden."""
+def is_marked(attributes: str, words: bool = True) -> bool:
+    """Whether class, id (where words count) or role words name boilerplate, or the element is hidden."""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if name in ("class", "id"):
-            if MARKS & set(re.split(r"[\s_\-:]+", value)):
+            if words and MARKS & set(re.split(r"[\s_\-:]+", value)):
                 return True
         elif name == "role":
             if value in ROLES:
@@ -157,7 +163,9 @@ def blocks_of(page: str) -> list[Block]:
             elif tag != "option":
                 close({"p"}, {"td", "th", "button", "object"})
             if tag not in VOID:
-                here = Element(tag, here, here.boilerplate or tag in BOILERPLATE or is_marked(m[3]), here.depth + 1)
+                marked = tag in BOILERPLATE or is_marked(m[3], tag not in CONTENT)
+                named = any(name.lower() in ("class", "id") for name, _ in ATTRIBUTE.findall(m[3]))
+                here = Element(tag, here, here.boilerplate or marked, here.depth + 1, named)
     for b in out:
         b.text = " ".join("".join(b.pieces).split())
     return [b for b in out if b.text]
@@ -199,8 +207,14 @@ def main_text(page: str | None) -> str:
                 elements[id(e)] = e
                 e = e.parent
     root = max((e for k, e in elements.items() if inside[k] >= ROOT_SHARE * total), key=lambda e: e.depth)
-    while root.parent is not None and root.tag in ("p", "li", "td", "th", "dd", "dt", "tr", *HEADINGS):
-        root = root.parent  # a lone paragraph: its container
+    e = root
+    while e is not None and e.tag not in ("article", "main"):
+        e = e.parent
+    if e is not None:
+        root = e
+    elif root.tag in PARTS or root.tag == "div" and not root.named:
+        while root.parent is not None and (inside[id(root)] < total or root.tag in PARTS):
+            root = root.parent
     whole = root.tag in ("", "html", "body")
 
     def under(e: Element | None) -> bool:

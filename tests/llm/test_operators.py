@@ -211,6 +211,28 @@ def test_html_extraction():
     assert html_extract.main_text("plain < text") == "plain < text"
 
 
+DOMINANT = {
+    **{t: f"<{t}>" + "".join(f"<li>Item {i} of the list, which goes on, and on, for a while.</li>" for i in range(60)) + f"</{t}>" for t in ("ul", "ol")},
+    "table": "<table>" + "".join(f"<tr><td>Cell {i}, with words, and more of them.</td></tr>" for i in range(60)) + "</table>",
+    **{t: f"<{t}>" + "Words, and more words, and so on. " * 60 + f"</{t}>" for t in ("pre", "blockquote", "section", "div")},
+}
+
+
+@pytest.mark.parametrize("tag", sorted(DOMINANT))
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_html_extraction_keeps_what_stands_beside_a_dominant_element(tag, around):
+    page = f"<html><body><nav><a href=x>Home page</a></nav><{around}><h1>The title</h1><p>An introduction, long enough to count, of this page.</p>{DOMINANT[tag]}<p>An ending, long enough to count, of this page.</p></{around}><footer>&copy; x</footer></body></html>"
+    lines = html_extract.main_text(page).split("\n")
+    assert lines[:2] == ["The title", "An introduction, long enough to count, of this page."] and lines[-1] == "An ending, long enough to count, of this page."
+
+
+@pytest.mark.parametrize("html_class, body, main, article", [("no-sidebar", "", "", ""), ("", "no-sidebar", "", ""), ("", "", "has-nav", ""), ("", "", "", "has-comments")])
+def test_html_extraction_of_pages_with_classes_about_their_layout(html_class, body, main, article):
+    page = f"<html class='{html_class}'><body class='{body}'><main id='{main}'><article class='{article}'><h1>Head</h1><p>Some text, which is long enough.</p><div class='comments'><p>Great article, thanks!</p></div></article></main></body></html>"
+    assert html_extract.main_text(page) == "Head\nSome text, which is long enough."
+    assert html_extract.main_text(page.replace("<article", "<article hidden")) == ""
+
+
 def test_language_centroids(spark):
     rng = random.Random(9)
     words = {"en": "the of and that with".split(), "de": "der die und nicht für".split(), "fr": "les des une être où".split()}

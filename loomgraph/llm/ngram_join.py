@@ -30,6 +30,8 @@ from loomgraph.llm.components import components
 WIDTH = 5
 #: A token that more families than this hold is frequent.
 FREQUENT = 32
+#: The share of its tokens that a class's leader must lead, round by round.
+FAMILY_SHARES = (0.5, 0.25)
 #: Up to so many ids (8 bytes each) are broadcast to pick the texts that are read again; beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _WORDS_REMEMBERED = 500_000
@@ -101,9 +103,13 @@ def _over(column: str) -> Window:
     return Window.partitionBy(column)
 
 
-def _shared(tokens: DataFrame) -> DataFrame:
-    """tokens(rep, n, t) that several classes hold, with f, their number."""
-    return tokens.withColumn("f", F.count(F.lit(1)).over(_over("t"))).filter("f > 1")
+def _shared(tokens: DataFrame, *keys: str) -> DataFrame:
+    """The tokens(t, ...) that several classes hold (per keys), with f, their number.
+
+    Counts are summed before they travel, and joined back, so that the holders of a very common token can be split.
+    """
+    held = tokens.groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    return tokens.join(held, [*keys, "t"])
 
 
 def _bounded(shared: DataFrame) -> DataFrame:
@@ -121,45 +127,53 @@ def _linked(overlap: Column, n: Column, m: Column) -> Column:
 
 
 def _ties(shared: DataFrame) -> DataFrame:
-    """(lead, rep, s, n, m): s tokens of rep, of n in all, have lead, of m, as their most central holder (itself too)."""
-    central = shared.groupBy("rep").agg((F.sum(F.floor(16 * F.log2("f"))) / F.first("n")).alias("c"))
-    leader = F.max(F.struct("c", (-F.col("rep")).alias("r"), "n")).over(_over("t"))
-    ties = shared.join(central, "rep").select("rep", "n", leader.alias("l")).select("rep", "n", (-F.col("l.r")).alias("lead"), F.col("l.n").alias("m"))
-    return ties.groupBy("lead", "rep").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"), F.first("m").alias("m"))
+    """(lead, rep, s, n, m, fit): s tokens of rep, of n in all, have lead, of m, as their most central holder (itself too).
+
+    A class is fit to lead if other classes hold 8/9 of its tokens; those come first.
+    """
+    central = shared.groupBy("rep").agg((F.sum(F.floor(16 * F.log2("f"))) / F.first("n")).alias("c"), (9 * F.first("cap") >= 8 * F.first("n")).alias("fit"))
+    leaders = shared.join(central, "rep").groupBy("t").agg(F.max(F.struct("fit", "c", (-F.col("rep")).alias("r"), "n")).alias("l"))
+    ties = shared.select("rep", "n", "t").join(leaders, "t").select("rep", "n", (-F.col("l.r")).alias("lead"), F.col("l.n").alias("m"), "l.fit")
+    return ties.groupBy("lead", "rep").agg(F.count(F.lit(1)).alias("s"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("fit").alias("fit"))
 
 
-def _families(ties: DataFrame) -> DataFrame:
-    """(rep, lead, m): the class that leads most of rep's tokens, and half of them at least; else rep itself."""
-    best = ties.groupBy("rep").agg(F.max(F.struct("s", (-F.col("lead")).alias("l"), "m")).alias("x"), F.first("n").alias("n"))
-    own = 2 * F.col("x.s") < F.col("n")
+def _families(ties: DataFrame, share: float) -> DataFrame:
+    """(rep, lead, m): the fit class that leads most of rep's tokens, and `share` of them at least; else rep itself."""
+    best = ties.groupBy("rep").agg(F.max(F.struct("fit", "s", (-F.col("lead")).alias("l"), "m")).alias("x"), F.first("n").alias("n"))
+    own = ~F.col("x.fit") | (F.col("x.s") < share * F.col("n"))
     return best.select("rep", F.when(own, F.col("rep")).otherwise(-F.col("x.l")).alias("lead"), F.when(own, F.col("n")).otherwise(F.col("x.m")).alias("m"))
 
 
 def _within_families(shared: DataFrame, families: DataFrame, near: DataFrame) -> DataFrame:
     """Links (a, b) of different components inside a family, by what its members change in their leader.
 
-    x and y link if their changes differ in at most (n_x + n_y) / 9 tokens. If x doesn't link with the leader, of m, it
-    has more than (n_x + m) / 9 changes, so of y's changes fewer than (changed + (n_y - m) / 9) / 2 are not among x's:
-    so many of y's rarest, and one more, meet all of x's. Pairs that both link with the leader are one component already.
+    A member's changes are its tokens that the leader lacks, and the leader's tokens that it lacks; of the leader's m
+    tokens the u that no other class holds are left out, as everybody lacks them. x and y link if their changes differ
+    in at most (n_x + n_y) / 9 tokens. If x doesn't link with the leader, it has more than (n_x + m) / 9 - u changes, so
+    of y's changes fewer than (changed + (n_y - m) / 9 + u) / 2 are not among x's: so many of y's rarest, and one more,
+    meet all of x's. As u is m / 9 at most, two that don't link with the leader have a change in common. Pairs that both
+    link with the leader are one component already.
     """
     comp = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
+    known = shared.groupBy("rep").agg(F.first("n").alias("n"), F.first("cap").alias("cap"))
     named = families.join(comp("rep"), "rep", "left").join(comp("lead"), "lead", "left")
     named = named.withColumns({"comp": F.coalesce("comp_rep", "rep"), "comp_lead": F.coalesce("comp_lead", "lead")}).drop("comp_rep")
     mixed = named.filter("rep <> lead").groupBy("lead").agg(F.max(F.col("comp") != F.col("comp_lead")).alias("x")).filter("x").select("lead")
-    members = materialize(named.join(mixed, "lead"))
-    own = shared.select("rep", "n", "t").join(members, "rep").select("lead", "rep", "n", "m", "t", F.lit(1).alias("side"))
-    sizes = shared.select("rep", "n").distinct().join(members.select("rep", "lead", "m"), "rep")
-    led = shared.select(F.col("rep").alias("lead"), "t").join(mixed, "lead")
-    theirs = sizes.join(led, "lead").select("lead", "rep", "n", "m", "t", F.lit(2).alias("side"))
-    sides = own.unionByName(theirs).groupBy("lead", "rep", "n", "m", "t").agg(F.sum("side").alias("side"))
-    same = F.sum(F.when(F.col("side") == 3, 1).otherwise(0)).over(_over("rep"))
-    changes = sides.withColumn("changed", F.col("n") + F.col("m") - 2 * same).filter("side < 3").join(members.select("rep", "comp", "comp_lead"), "rep")
-    changes = materialize(changes.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("lead", "t"))).drop("side"))
-    known = F.count(F.lit(1)).over(_over("rep"))
+    mixed = mixed.join(known.select(F.col("rep").alias("lead"), F.col("cap").alias("held")), "lead")
+    members = materialize(named.join(mixed, "lead").join(known.select("rep", "n"), "rep"))
+    own = shared.select("rep", "t").join(members.select("lead", "rep"), "rep").select("lead", "rep", "t", F.lit(1).alias("side"))
+    led = shared.select(F.col("rep").alias("lead"), "t").join(mixed.select("lead"), "lead")
+    theirs = members.select("lead", "rep").join(led, "lead").select("lead", "rep", "t", F.lit(2).alias("side"))
+    sides = materialize(own.unionByName(theirs).groupBy("lead", "rep", "t").agg(F.sum("side").alias("side")))
+    same = sides.groupBy("rep").agg(F.sum(F.when(F.col("side") == 3, 1).otherwise(0)).alias("same"))
+    members = materialize(members.join(same, "rep").withColumn("changed", F.col("n") + F.col("held") - 2 * F.col("same")))
+    changes = sides.filter("side < 3").drop("side")
+    held = changes.groupBy("lead", "t").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    changes = materialize(changes.join(held, ["lead", "t"], "left").withColumn("f", F.coalesce("f", F.lit(1))).join(members.drop("lead"), "rep"))
     # Rarest first; changes that are not in the table are nobody else's and stand before all.
-    place = F.col("changed") - known + F.row_number().over(Window.partitionBy("rep").orderBy("f", "t"))
+    place = F.col("changed") - F.count(F.lit(1)).over(_over("rep")) + F.row_number().over(Window.partitionBy("rep").orderBy("f", "t"))
     # Ninths are kept whole, so that no rounding shortens what is indexed.
-    most = F.floor((9 * F.col("changed") + F.greatest(F.col("n") - F.col("m"), F.lit(0))) / 18) + 1
+    most = F.floor((9 * F.col("changed") + F.greatest(F.col("n") - F.col("m") + 9 * (F.col("m") - F.col("held")), F.lit(0))) / 18) + 1
     placed = changes.withColumns({"place": place, "indexed": most}).filter("f > 1")
     side = lambda df, k: df.select("lead", "t", F.col("rep").alias(k), *[F.col(c).alias(f"{a}{k}") for c, a in (("n", "n"), ("changed", "e"), ("comp", "c"), ("place", "p"))])
     ys, xs = side(placed.filter("place <= indexed"), "y"), side(placed.filter("comp <> comp_lead"), "x")
@@ -173,8 +187,7 @@ def _within_families(shared: DataFrame, families: DataFrame, near: DataFrame) ->
     overlap = (F.col("nx") + F.col("ny") - F.col("ex") - F.col("ey") + 2 * F.size(F.array_intersect("sx", "sy"))) / 2
     linked = both.filter(_linked(overlap, F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
     # The leader's own links are not among these pairs when it belongs to another family.
-    kept = changes.select("rep", "lead", "n", "changed").distinct().join(families.select(F.col("rep"), F.col("m")), "rep")
-    to_lead = kept.filter("rep <> lead").filter(_linked((F.col("n") + F.col("m") - F.col("changed")) / 2, F.col("n"), F.col("m")))
+    to_lead = members.filter("rep <> lead").filter(_linked(F.col("same"), F.col("n"), F.col("m")))
     return linked.unionByName(to_lead.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
 
 
@@ -183,37 +196,45 @@ def _size_family(n: Column) -> Column:
 
 
 def _index(tokens: DataFrame, frequent: int) -> DataFrame:
-    """Signatures (x, y, family) of tokens(rep, n, cap, most, comp, t, f, comps): single rare tokens, pairs of frequent ones."""
+    """Signatures (x, y, family) of tokens(rep, n, cap, comp, t, f, comps): single rare tokens, pairs of frequent ones.
+
+    Tokens stand rarest first, the same way in all sets. At most n - o tokens of a set of n are missing from a partner
+    with an overlap of o, so the first shared token is among the first n - o + 1, and the first e + 1 shared ones are
+    among the first n - o + e + 1. Dealt to e classes, two of those e + 1 fall into one. `room` bounds the overlap of
+    partners that meet at a signature: what stands behind it, and the tokens that others hold at all.
+    """
     n = F.col("n")
     allowed = n - _floor_share(n) + 1  # the length of a prefix
     order = Window.partitionBy("rep").orderBy("heavy", "f", "t")
     rows = tokens.withColumn("heavy", F.col("comps") > frequent)
     rows = rows.withColumns({"place": n - F.col("cap") + F.row_number().over(order), "rare": n - F.col("cap") + F.sum(F.when(~F.col("heavy"), 1).otherwise(0)).over(_over("rep"))})
-    keep = ["rep", "n", "most", "comp"]
     full = F.col("rare") >= allowed
-    singles = rows.filter(~F.col("heavy") & (F.col("comps") > 1) & (~full | (F.col("place") <= allowed)))
-    singles = singles.select(*keep, F.col("t").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(-1).cast("long").alias("family"))
-    # A set of n is indexed for its own size family and the next, so linked sets meet in one; there are about n / 4 classes.
+    singles = rows.filter(~F.col("heavy") & (F.col("comps") > 1) & (F.col("place") <= allowed))
+    room = F.least("cap", n - F.col("place") + 1)
+    singles = singles.select("rep", "n", "comp", F.col("t").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(-1).cast("long").alias("family"), room.alias("room"))
+    # A set of n is indexed for its own size family and the next, so linked sets meet in one and agree on e there.
     family = F.explode(F.array(_size_family(n), _size_family(n) + 1))
-    extended = rows.filter(F.col("heavy") & ~full).select(*keep, "t", family.alias("family"))
-    classes = F.greatest(F.floor(F.pow(F.lit(1.25), F.col("family")) / 4), F.lit(1))
-    extended = materialize(extended.withColumn("class", F.pmod(F.xxhash64("t"), classes)))
-    other = extended.select("rep", "family", "class", F.col("t").alias("y"))
-    pairs = extended.join(other, ["rep", "family", "class"]).filter("t < y").select(*keep, F.col("t").alias("x"), "y", "family")
-    return singles.unionByName(pairs)
+    extended = rows.filter(F.col("heavy") & ~full).select("rep", "n", "comp", "cap", "t", "place", family.alias("family"))
+    extended = extended.withColumn("e", F.greatest(F.floor(F.pow(F.lit(1.25), F.col("family")) / 5), F.lit(1)))
+    extended = extended.filter(F.col("place") <= allowed + F.col("e")).withColumn("class", F.pmod(F.xxhash64("t"), F.col("e")))
+    extended = materialize(extended)
+    other = extended.select("rep", "family", "class", F.col("t").alias("y"), F.col("place").alias("place_y"))
+    pairs = extended.join(other, ["rep", "family", "class"]).filter("t < y")
+    room = F.least("cap", n - F.greatest("place", "place_y") + F.col("e") + 1)
+    return singles.unionByName(pairs.select("rep", "n", "comp", F.col("t").alias("x"), "y", "family", room.alias("room")))
 
 
 def _candidates(index: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different families (comp) with a signature in common and sizes that allow a link."""
+    """Pairs (a, b) of classes of different families (comp) with a signature in common, and sizes and room for a link."""
     sig = ["x", "y", "family"]
-    groups = index.groupBy(*sig, "comp").agg(F.min("n").alias("low"), F.max("most").alias("high"))
-    left = groups.select(*sig, F.col("comp").alias("c1"), F.col("low").alias("low1"), F.col("high").alias("high1"))
-    right = groups.select(*sig, F.col("comp").alias("c2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    meet = left.join(right, sig).filter("c1 < c2 AND low2 <= high1 AND low1 <= high2").select(*sig, "c1", "c2")
-    one = index.select(*sig, F.col("comp").alias("c1"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"))
-    two = index.select(*sig, F.col("comp").alias("c2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    groups = index.groupBy(*sig, "comp").agg(F.min("n").alias("low"), F.max("room").alias("most"))
+    left = groups.select(*sig, F.col("comp").alias("c1"), F.col("low").alias("low1"), F.col("most").alias("most1"))
+    right = groups.select(*sig, F.col("comp").alias("c2"), F.col("low").alias("low2"), F.col("most").alias("most2"))
+    meet = left.join(right, sig).filter("c1 < c2 AND 9 * least(most1, most2) >= 4 * (low1 + low2)").select(*sig, "c1", "c2")
+    one = index.select(*sig, F.col("comp").alias("c1"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("room").alias("ra"))
+    two = index.select(*sig, F.col("comp").alias("c2"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("room").alias("rb"))
     found = meet.join(one, [*sig, "c1"]).join(two, [*sig, "c2"])
-    fits = "nb <= ma AND na <= mb AND 5 * least(na, nb) >= 4 * greatest(na, nb)"
+    fits = "9 * least(ra, rb) >= 4 * (na + nb) AND 5 * least(na, nb) >= 4 * greatest(na, nb)"
     return found.filter(fits).select("a", "b", "na", "nb").distinct()
 
 
@@ -246,12 +267,20 @@ def near_duplicates(docs: DataFrame, frequent: int = FREQUENT, broadcast_ids: in
     bounds = _bounded(shared)
     shared = materialize(_shared(shared.join(bounds, "rep").select("rep", "n", "t")))
     bounds = materialize(_bounded(shared))
-    shared = materialize(shared.join(bounds, "rep").select("rep", "n", "cap", "most", "t", "f"))
-
-    ties = materialize(_ties(shared))
-    linked = _linked(F.col("s"), F.col("n"), F.col("m"))
-    proven = materialize(ties.filter((F.col("rep") != F.col("lead")) & linked).select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-    families = materialize(_families(ties))
+    shared = materialize(shared.join(bounds, "rep").select("rep", "n", "cap", "t", "f"))
+
+    families, proven, left = None, None, shared
+    for share in FAMILY_SHARES:
+        ties = materialize(_ties(left))
+        linked = (F.col("rep") != F.col("lead")) & _linked(F.col("s"), F.col("n"), F.col("m"))
+        tied = ties.filter(linked).select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+        found = materialize(_families(ties, share))
+        families = found if families is None else families.join(found, "rep", "left_anti").unionByName(found)
+        proven = tied if proven is None else proven.unionByName(tied)
+        # Classes that lead only themselves look for a leader again, among each other.
+        alone = found.groupBy("lead").agg(F.count(F.lit(1)).alias("k"), F.first("rep").alias("rep")).filter("k = 1 AND rep = lead").select("rep")
+        left = materialize(_shared(shared.join(alone, "rep").select("rep", "n", "cap", "t")))
+    families, proven = materialize(families), materialize(proven)
     near = materialize(components(proven))
     inside = _within_families(shared, families, near)
     placed = shared.join(families.select("rep", F.col("lead").alias("comp")), "rep")

@@ -22,21 +22,22 @@ def text_or_empty(column: str | Column = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (single-machine tests) a folder of our own."""
+    """The cluster's spark.checkpoint.dir; only where it is unset and Spark runs on one machine a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: the lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -58,6 +59,22 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(id_text(column).cast("binary")), F.lit(n))
 
 
-def drop_clashing(docs: DataFrame, names: list[str]) -> DataFrame:
-    """docs without columns that an operator is about to add."""
-    return docs.drop(*[c for c in docs.columns if c in names])
+def kept_columns(docs: DataFrame, added: list[str]) -> list[str]:
+    """The columns of docs that an operator leaves: those that it adds are replaced, whatever their case."""
+    names = {a.lower() for a in added}
+    return [c for c in docs.columns if c.lower() not in names]
+
+
+def named(column: str) -> Column:
+    """The column of this very name, dots and back-ticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def boxed(docs: DataFrame, added: list[str], **needed: Column) -> DataFrame:
+    """`row`, a struct of the columns that stay, beside the columns that an operator works with: no names can clash."""
+    return docs.select(F.struct(*[named(c) for c in kept_columns(docs, added)] or [F.lit(None).alias("none")]).alias("row"), *[c.alias(k) for k, c in needed.items()])
+
+
+def unboxed(docs: DataFrame, added: list[str], row: str = "row") -> list[Column]:
+    """The columns that boxed() put away."""
+    return [F.col(row).getField(c).alias(c) for c in kept_columns(docs, added)]

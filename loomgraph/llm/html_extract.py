@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import drop_clashing
+from loomgraph.llm.common import kept_columns, named
 
 #: Elements whose content is no text of the page; their content is not parsed.
 RAW = frozenset("script style title textarea noscript template iframe svg math object xmp noembed noframes".split())
@@ -240,4 +240,4 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
         for batch in batches:
             yield batch.map(main_text)
 
-    return drop_clashing(pages, ["main_text"]).withColumn("main_text", extracted(F.coalesce(F.col(column), F.lit(""))))
+    return pages.select(*map(named, kept_columns(pages, ["main_text"])), extracted(F.coalesce(named(column), F.lit(""))).alias("main_text"))

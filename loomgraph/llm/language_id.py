@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import drop_clashing
+from loomgraph.llm.common import boxed, unboxed
 
 #: Hashed n-gram dimensions; orders of n-grams.
 DIMENSIONS = 1 << 13
@@ -142,5 +142,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pd.DataFrame([model.predict(t) for t in batch], columns=["language", "score", "rejected"])
 
-    rows = drop_clashing(docs, [*ADDED, "__l"]).withColumn("__l", nearest("text"))
-    return rows.withColumns({a: F.col(f"__l.{b}") for a, b in zip(ADDED, ("language", "score", "rejected"))}).drop("__l")
+    rows = boxed(docs, ADDED, found=nearest("text"))
+    return rows.select(*unboxed(docs, ADDED), *[F.col("found")[b].alias(a) for a, b in zip(ADDED, ("language", "score", "rejected"))])

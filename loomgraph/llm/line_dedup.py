@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACES, WORDS, drop_clashing, id_text, materialize, text_or_empty
+from loomgraph.llm.common import SPACES, WORDS, boxed, id_text, kept_columns, materialize, text_or_empty, unboxed
 
 #: A run of lines counts as repeated if it has at least so many words.
 MIN_WORDS = 10
@@ -102,13 +102,19 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     null too; others keep their remaining lines, blank ones included, joined by line feeds. Rows that repeat id and text
     count as one document and get the same result.
     """
-    rows = drop_clashing(docs, [*ADDED, "__d", "__deleted"]).withColumn("__d", document_key())
+    rows = boxed(docs, ADDED, d=document_key(), t=F.col("text"))
     gone = materialize(later_copies(docs, min_words))
     # Only texts that lose lines meet the table of deletions; the others keep theirs and need no second look.
-    joined = rows.join(gone.select(F.col("d").alias("__d"), F.col("deleted").alias("__deleted")), "__d", "left")
-    lines = F.split(text_or_empty(), "\n")
-    kept = F.filter(lines, lambda x, p: ~F.array_contains("__deleted", p))
-    changed = F.col("__deleted").isNotNull()
-    out = joined.withColumns({"lines_in": F.size(F.filter(lines, lambda x: x.rlike(WORDS))).cast("long"), "lines_deleted": F.when(changed, F.size("__deleted")).otherwise(0).cast("long")})
-    out = out.withColumn("text", F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
+    joined = rows.join(gone, "d", "left")
+    lines = F.split(text_or_empty("t"), "\n")
+    # Sets of whole numbers are hashed: the work is linear in the lines.
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "deleted")
+    changed = F.col("deleted").isNotNull()
+    out = joined.withColumn("lines", lines)
+    out = out.withColumns({
+        "lines_in": F.size(F.filter("lines", lambda x: x.rlike(WORDS))).cast("long"),
+        "lines_deleted": F.when(changed, F.size("deleted")).otherwise(0).cast("long"),
+        "text": F.when(changed, F.array_join(F.transform(kept, lambda p: F.get("lines", p)), "\n")).otherwise(F.col("t")),
+    })
+    columns = [F.col("text") if c.lower() == "text" else x for c, x in zip(kept_columns(docs, ADDED), unboxed(docs, ADDED))]
+    return out.select(*columns, *ADDED)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORDS, drop_clashing, id_text, text_or_empty
+from loomgraph.llm.common import WORDS, boxed, id_text, text_or_empty, unboxed
 
 #: Weight at the start and at the end of training, linear between; sources take them in turn. Their means are 1, 2, 3.
 SCHEDULES = ((1.5, 0.5), (2.0, 2.0), (1.5, 4.5))
@@ -67,6 +67,27 @@ def position_at(share: Column, w0: Column, w1: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, share).otherwise((F.sqrt(F.greatest(w0 * w0 + 2 * slope * area, F.lit(0.0))) - w0) / slope)
 
 
+def _plan(docs: DataFrame, added: list[str], schedules: Sequence, max_repeats: int) -> DataFrame:
+    """row (the columns of docs that stay), doc_id, ADDED, start (words before it in its source), w0, w1."""
+    rows = boxed(docs, added, doc_id=F.col("doc_id"), source=F.col("source"), k=source_key(), h=F.md5(id_text().cast("binary")), size=word_count())
+    rows = rows.withColumn("r", F.substring("h", 1, RANGE_DIGITS))
+    narrow = rows.select("source", "size", "k", "r")
+    ranges = narrow.groupBy("k", "r").agg(F.sum("size").alias("n"))
+    earlier = Window.partitionBy("k").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("k", "r", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    plan = ranges.join(targets(narrow.select("source", "size"), schedules, max_repeats), "k")
+    inside = Window.partitionBy("k", "r").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(plan, ["k", "r"])
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    rows = rows.withColumns({"start": F.col("before") + F.col("inside"), "passes": passes})
+    rest = F.col("target") - F.col("passes") * F.col("source_size")
+    more = F.when((F.col("size") > 0) & (2 * F.col("start") + F.col("size") <= 2 * rest), 1).otherwise(0)
+    rows = rows.withColumn("repeats", F.when(F.col("size") > 0, F.col("passes") + more).otherwise(0).cast("long"))
+    first = F.when(F.col("repeats") > 0, position_at(F.col("start") / F.col("target"), F.col("w0"), F.col("w1")))
+    rows = rows.withColumns({"taken": F.col("size") * F.col("repeats"), "first_position": first})
+    return rows.select("row", "doc_id", *ADDED, "start", "w0", "w1")
+
+
 def plan_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """docs with size, source_size, target (its source's), taken (words), repeats, first_position (null: not taken).
 
@@ -74,33 +95,17 @@ def plan_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, max_repeats: int
     whose middle lies before what remains. Null texts have size 0 and are never taken; a null source is a source; rows
     that repeat an id are documents of their own; columns named like the added ones are replaced.
     """
-    rows = drop_clashing(docs, ADDED).withColumns({"size": word_count(), "__h": F.md5(id_text().cast("binary"))})
-    rows = rows.withColumns({"__k": source_key(), "__r": F.substring("__h", 1, RANGE_DIGITS)})
-    narrow = rows.select("source", "size", "__k", "__r")
-    ranges = narrow.groupBy("__k", "__r").agg(F.sum("size").alias("n"))
-    earlier = Window.partitionBy("__k").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("__k", "__r", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
-    goals = targets(narrow.select("source", "size"), schedules, max_repeats)
-    plan = ranges.join(goals.withColumnRenamed("k", "__k"), "__k")
-    inside = Window.partitionBy("__k", "__r").orderBy("__h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(plan, ["__k", "__r"])
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    start = F.col("__before") + F.col("__in")
-    rest = F.col("target") - F.col("__passes") * F.col("source_size")
-    rows = rows.withColumns({"__start": start, "__passes": passes})
-    more = F.when((F.col("size") > 0) & (2 * F.col("__start") + F.col("size") <= 2 * rest), 1).otherwise(0)
-    rows = rows.withColumn("repeats", F.when(F.col("size") > 0, F.col("__passes") + more).otherwise(0).cast("long"))
-    first = F.when(F.col("repeats") > 0, position_at(F.col("__start") / F.col("target"), F.col("w0"), F.col("w1")))
-    rows = rows.withColumns({"taken": F.col("size") * F.col("repeats"), "first_position": first})
-    kept = [c for c in docs.columns if c not in ADDED]
-    return rows.select(*[F.col(f"`{c}`") for c in kept], *ADDED, "__start", "w0", "w1")
+    return _plan(docs, ADDED, schedules, max_repeats).select(*unboxed(docs, ADDED), *ADDED)
 
 
 def mix(docs: DataFrame, schedules: Sequence = SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per taken copy of a document: its columns and `position`, range-sorted by position (then id)."""
-    plan = plan_mix(docs, schedules, max_repeats).filter("repeats > 0")
-    copies = plan.withColumn("__pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)))
-    share = F.least((F.col("__start") + F.col("__pass") * F.col("source_size")) / F.col("target"), F.lit(1.0))
-    kept = [c for c in docs.columns if c not in [*ADDED, "position"]]
+    """One row per taken copy of a document: its columns and `position`, range-sorted by position (then id).
+
+    Columns of docs named like the added ones of plan_mix(), or position, are replaced or left out.
+    """
+    added = [*ADDED, "position"]
+    plan = _plan(docs, added, schedules, max_repeats).filter("repeats > 0")
+    copies = plan.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)))
+    share = F.least((F.col("start") + F.col("pass") * F.col("source_size")) / F.col("target"), F.lit(1.0))
     out = copies.withColumn("position", position_at(share, F.col("w0"), F.col("w1")))
-    return out.orderBy("position", "doc_id").select(*[F.col(f"`{c}`") for c in kept], "position")
+    return out.orderBy("position", "doc_id").select(*unboxed(docs, added), "position")

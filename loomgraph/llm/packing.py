@@ -1,9 +1,9 @@
 """Order-preserving packing of token streams into windows by dynamic programming.
 
-Documents are taken in the order of their ids or of a given column. Within a part of neighbours their tokens form one
-stream; a window ends at a document's or a sentence's end, or, where there is none for long, inside a sentence. The cost of a cut is the
-padding of its window plus a penalty for what it truncates; the transition is a minimum over a sliding range of earlier
-cuts, which a monotone queue answers in constant time each.
+Documents are taken in the order of their ids or of a given column, which is range-sorted: the documents of a sorted
+partition form one stream, whatever their ids. A window ends at a document's or a sentence's end, or, where there is none
+for long, inside a sentence. The cost of a cut is the padding of its window plus a penalty for what it truncates; the
+transition is a minimum over a sliding range of earlier cuts, which a monotone queue answers in constant time each.
 """
 
 from __future__ import annotations
@@ -13,27 +13,30 @@ import re
 import unicodedata
 import zlib
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import text_or_empty
 
 WINDOW = 2048
-#: Ids of neighbours that one task packs together (the stream of a part is cut on its own).
-NEIGHBOURS = 512
+#: Windows that are read ahead before the stream is cut; the last of them wait for what follows.
+AHEAD, WAITING = 64, 2
+#: Sequences of one sorted partition.
+PER_PARTITION = 1 << 40
 #: Penalties, in tokens of padding: a cut at the end of a sentence, and one inside a sentence.
 AT_SENTENCE, IN_SENTENCE = 2, 16
 #: The longest stretch without a place to cut.
 STRETCH = 64
 END_ID = 1
 SENTENCE_END = tuple(".!?…。！？")
-#: Marks that end a word, and stand apart from it in the tokenizer's split as well.
-PUNCTUATED = re.compile(r"(?<=[^\W_])([.,;:!?]+)(?=[ \n]|$)")
+#: Marks that end a word of small letters or digits, and stand apart from it in the tokenizer's split as well.
+PUNCTUATED = re.compile("(?<=[0-9a-z\u00df-\u00f6\u00f8-\u00ff\u0430-\u045f])([.,;:!?]+)(?=[ \n]|$)")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -69,12 +72,11 @@ class ChunkTokenizer:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids, and the numbers of ids before which a sentence ends."""
-        chunks = PUNCTUATED.sub(r" \1", text).replace("\n", " ")
-        low = chunks.lower()
-        # Lower case first, where the tokenizer's normaliser, which composes before it lowers, comes to the same.
-        if "Σ" not in chunks and unicodedata.is_normalized("NFC", chunks) and unicodedata.is_normalized("NFC", low):
-            chunks = low
-        chunks = chunks.split(" ")
+        low = text.lower()
+        # Lower case first, where the tokenizer, which looks for special tokens and composes before it lowers, comes to the same.
+        if "<|" not in text and (text.isascii() or "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+            text = PUNCTUATED.sub(r" \1", low)
+        chunks = text.replace("\n", " ").split(" ")
         if len(self.codes) > self.most:
             self.clear()
         missing = [c for c in dict.fromkeys(chunks) if c not in self.codes]
@@ -144,60 +146,66 @@ def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) ->
     return [0, *reversed(cuts)]
 
 
-def split_short(cuts: list[int], window: int = WINDOW) -> list[int]:
-    """The last window, if padding it costs more, in pieces whose lengths are powers of two, which are not padded."""
-    if len(cuts) < 2:
-        return cuts
-    rest = cuts[-1] - cuts[-2]
-    if window - rest <= IN_SENTENCE * (rest.bit_count() - 1):
-        return cuts
-    at, out = cuts[-2], cuts[:-1]
-    for k in reversed(range(rest.bit_length())):
-        if rest >> k & 1:
-            at += 1 << k
-            out.append(at)
-    return out
-
-
-def pack_part(part: int, doc_ids: list, encoded: list[tuple[np.ndarray, np.ndarray]], window: int = WINDOW) -> pd.DataFrame:
-    """The pieces of one stream: where documents and windows meet."""
-    sizes = [len(ids) for ids, _ in encoded]
-    places, penalties = candidate_cuts(sizes, [e for _, e in encoded])
-    cuts = split_short(best_cuts(places, penalties, window), window)
-    rows, k, base = [], 0, 0
-    for doc_id, (ids, _), size in zip(doc_ids, encoded, sizes):
-        raw, at = ids.astype("<u4").tobytes(), 0
-        while at < size:
-            while cuts[k + 1] <= base + at:
-                k += 1
-            stop = min(size, cuts[k + 1] - base)
-            rows.append((doc_id, at, stop - at, zlib.crc32(raw[4 * at : 4 * stop]), size, (part << 24) + k, base + at - cuts[k]))
-            at = stop
-        base += size
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-    return out.astype({"doc_id": "Int64"})
+class Stream:
+    """Cuts a stream of documents into windows as it is read; holds at most AHEAD windows and one document."""
+
+    def __init__(self, first_sequence: int, window: int = WINDOW):
+        self.sequence, self.window, self.held = first_sequence, window, 0
+        self.pending: list[tuple[int | None, np.ndarray, np.ndarray, int, int]] = []
+
+    def add(self, doc_id: int | None, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.pending.append((doc_id, ids, ends, 0, len(ids)))
+        self.held += len(ids)
+
+    def full(self) -> bool:
+        return self.held >= AHEAD * self.window
+
+    def cut(self, last: bool) -> pd.DataFrame:
+        """Pieces of the windows that are settled: all at the stream's end."""
+        places, penalties = candidate_cuts([len(ids) for _, ids, *_ in self.pending], [e for _, _, e, *_ in self.pending])
+        cuts = best_cuts(places, penalties, self.window)
+        if not last:
+            cuts = cuts[: max(len(cuts) - WAITING, 1)]
+        rows, left, k, base = [], [], 0, 0
+        for doc_id, ids, ends, start, size in self.pending:
+            raw, at = ids.astype("<u4").tobytes(), 0
+            while at < len(ids) and base + at < cuts[-1]:
+                while cuts[k + 1] <= base + at:
+                    k += 1
+                stop = min(len(ids), cuts[k + 1] - base)
+                rows.append((doc_id, start + at, stop - at, zlib.crc32(raw[4 * at : 4 * stop]), size, self.sequence + k, base + at - cuts[k]))
+                at = stop
+            if at < len(ids):
+                left.append((doc_id, ids[at:], ends[ends > at] - at, start + at, size))
+            base += len(ids)
+        self.sequence += len(cuts) - 1
+        self.pending, self.held = left, sum(len(ids) for _, ids, *_ in left)
+        columns = dict(zip((c.split()[0] for c in PIECES.split(", ")), zip(*rows))) if rows else {c.split()[0]: () for c in PIECES.split(", ")}
+        return pd.DataFrame({k: pd.array(v, dtype="Int64") for k, v in columns.items()})
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, window: int = WINDOW, make: Callable = chunk_tokenizer, order: str = "doc_id") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are the end id alone; a null id stands in a part of its own; rows that repeat an id are packed
-    one after the other. Columns besides doc_id, text and `order` are not read. Every id lies in exactly one piece.
+    Null and empty texts are the end id alone; null ids stand before all others; rows that repeat an id are packed one
+    after the other; an empty table has no pieces. Columns besides doc_id, text and `order` are not read. Every id lies
+    in exactly one piece. Only the last window of each sorted partition is left as it comes.
 
-    `order` names a column of whole numbers that documents are taken by; by it neighbours are put in parts, and parts in
-    the order of sequence_id.
+    `order` names a column that documents are taken by; sequence_id ascends with it.
     """
 
-    def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        tokenizer = make(tokenizer_path)
-        group = group.sort_values(["order", "doc_id", "text"], kind="stable")
-        encoded = []
-        for text in group["text"]:
-            ids, ends = tokenizer.encode(text)
-            encoded.append((np.append(ids, np.uint32(end_id)), ends))
-        ids = [None if pd.isna(i) else int(i) for i in group["doc_id"]]
-        return pack_part(int(key[0]), ids, encoded, window)
-
-    part = F.floor(F.coalesce(order, F.lit(-1)) / NEIGHBOURS).cast("long")
-    rows = docs.select("doc_id", text_or_empty().alias("text"), F.col(order).alias("order"), part.alias("part"))
-    return rows.groupBy("part").applyInPandas(packed, PIECES)
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, tokenizer = Stream(TaskContext.get().partitionId() * PER_PARTITION, window), make(tokenizer_path)
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                ids, ends = tokenizer.encode(text)
+                stream.add(None if pd.isna(doc_id) else int(doc_id), np.append(ids, np.uint32(end_id)), ends)
+                if stream.full():
+                    yield stream.cut(False)
+        if stream.pending:
+            yield stream.cut(True)
+
+    # Ids travel as text, as a batch with a null among them would turn large ones into rounded floats.
+    rows = docs.select(F.col("doc_id"), text_or_empty().alias("text"), F.col(order).alias("order"))
+    rows = rows.orderBy("order", "doc_id", F.xxhash64("text")).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return rows.mapInPandas(packed, PIECES)

@@ -1,3 +1,5 @@
+"""The mix of all documents, in the order in which training meets them first."""
+
 from loomgraph.llm.common import table
 from loomgraph.llm.mixing import plan_mix
 
@@ -26,9 +28,12 @@ WITH d AS (
 ), f AS (
   SELECT *, (CASE WHEN size > 0 THEN passes + CASE WHEN 2 * start + size <= 2 * (target - passes * source_size) THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS repeats FROM e
 )
-SELECT doc_id, size, source_size, target, size * repeats AS taken, repeats FROM f
+SELECT doc_id, size, source_size, target, size * repeats AS taken, repeats,
+  CASE WHEN repeats = 0 THEN NULL WHEN abs(w1 - w0) < 1e-12 THEN start / target
+    ELSE (sqrt(greatest(w0 * w0 + 2 * (w1 - w0) * (start / target * (w0 + w1) / 2), 0.0)) - w0) / (w1 - w0) END AS first_position
+FROM f
 """
 
 
 def query(spark, sf_dir):
-    return plan_mix(table(spark, sf_dir, "documents")).orderBy("first_position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "repeats")
+    return plan_mix(table(spark, sf_dir, "documents")).orderBy("first_position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "repeats", "first_position")

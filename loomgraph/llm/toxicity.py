@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import text_or_empty
+from loomgraph.llm.common import boxed, text_or_empty, unboxed
 
 #: Bound on the labelled rows that fit() reads, and on the lexicon that it learns.
 MAX_LABELLED = 12_000
@@ -37,6 +37,7 @@ SEEDS = {
 THREAT_WEIGHT = 1.0
 #: Symbols: O other, I insult, T threat, Y target, N negation, R reporting verb.
 SYMBOL = {"threat": "T", "target": "Y", "negation": "N", "report": "R"}
+ADDED = ["tox_score", "tox_clauses"]
 CLAUSE = re.compile(r"[.!?;\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -207,8 +208,6 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     Columns of those names in docs are replaced. No column but text is an input of the score.
     """
-    rest = [c for c in docs.columns if c not in ("tox_score", "tox_clauses")]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for batch in batches:
@@ -218,5 +217,5 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from run(pd.DataFrame({"text": t}) for t in texts)
 
-    out = docs.select(*[docs[c] for c in rest], scored(docs["text"]).alias("__tox"))
-    return out.select(*[F.col(f"`{c}`") for c in rest], F.col("__tox.s").alias("tox_score"), F.col("__tox.n").alias("tox_clauses"))
+    out = boxed(docs, ADDED, found=scored("text"))
+    return out.select(*unboxed(docs, ADDED), F.col("found.s").alias("tox_score"), F.col("found.n").alias("tox_clauses"))

@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node belongs to the path of block elements (and links) from the root to it. Per path, characters and
-punctuation marks per node are aggregated, smoothed over neighbouring nodes in page order, fused into one score and
-held against a threshold. The smallest element with nearly all text of the accepted paths leads to the content root:
-the article or main element around it, or else, from an element that is only a part of a text (a list, a table, a
-section ...), the one with all accepted text. Under it every block that no boilerplate element encloses is main text.
+Every text node belongs to the path of block elements (and links) from the root to it. Per path, characters outside
+links and punctuation marks per node are aggregated, smoothed over neighbouring nodes in page order and fused into one
+score. Tags, roles and class or id words that name boilerplate are no verdicts but weights on a path, shared by all that
+stands below them, and scores are held against the best of the page: a mark around everything changes nothing. The
+smallest element with nearly all text of the paths above the threshold leads to the content root. Below it a path's
+score is fused with the root's, so that short blocks of an article stay and marked ones go, and held against a second
+threshold.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +32,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option select button".split()
 )
-#: Elements, roles and class or id words that mark boilerplate.
+#: Elements, roles and class or id words that mark boilerplate, and the weight of a mark.
 BOILERPLATE = frozenset("nav header footer aside form button select menu dialog head fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 MARKS = frozenset(
@@ -38,11 +40,21 @@ MARKS = frozenset(
     "consent gdpr notice notices alert popup modal overlay sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing "
     "social related recommended recommendations newsletter subscribe subscription signup login footer header masthead toolbar copyright disclaimer tags".split()
 )
-#: A start tag that ends an open element of the named kinds, up to the nearest enclosing element of the second kinds.
+MARKED = 0.002
+#: Words of a name that say nothing of what it holds, and words before a mark that deny it.
+GENERIC = frozenset("list item items box container wrapper wrap area block section inner outer bar links link icons buttons media left right top bottom group row col column slot unit panel main site page global text content body".split())
+DENIED = frozenset("no has have with without hide show is not".split())
+#: A start tag ends the innermost open element of these kinds in its scope; any other block ends a paragraph.
 CLOSES = {
-    "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table thead tbody tfoot"),
-    "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
+    "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
+PARAGRAPH = frozenset(["p"])
+CLOSABLE = frozenset("li dt dd tr td th option p".split())
+#: Elements that begin a scope, and the kinds that a start tag inside no longer sees.
+SCOPES = {tag: frozenset(kinds.split()) for tags, kinds in (
+    ("ul ol menu dir", "li"), ("dl", "dt dd"), ("table thead tbody tfoot", "tr td th p"), ("tr", "td th p"), ("select", "option"), ("td th button object", "p"),
+) for tag in tags.split()}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold a page's content: words of their class or id say what is on the page, not what they are.
 CONTENT = frozenset("html body main article".split())
@@ -52,6 +64,8 @@ PARTS = HEADINGS | frozenset("p li td th dd dt tr ul ol dl dir table thead tbody
 SMOOTH = (0.25, 0.5, 0.25)
 ACCEPT = 0.1
 ROOT_SHARE = 0.9
+#: Below the root: the share of a path's own score in the fused one, and the threshold for that.
+OWN, KEEP = 1 / 8, 0.25
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -62,70 +76,94 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 class Element:
     tag: str
     parent: "Element | None"
-    boilerplate: bool
+    number: int
     depth: int
+    weight: float
+    path: int
+    #: Tags of CLOSES and p that are open in the element's scope: only for those is it worth to look upwards.
+    closable: frozenset[str] = frozenset()
+    hidden: bool = False
     named: bool = False
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: int
     element: Element
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def is_marked(attributes: str, words: bool = True) -> bool:
-    """Whether class, id (where words count) or role words name boilerplate, or the element is hidden."""
+def names_boilerplate(name: str) -> bool:
+    """Whether a class or id name is that of boilerplate: its last telling word is a mark that no word before it denies."""
+    words = [w for w in re.split(r"[\s_\-:]+", name) if w and not w.isdigit()]
+    telling = [w for w in words if w not in GENERIC]
+    return bool(telling) and telling[-1] in MARKS and not DENIED & set(telling[:-1])
+
+
+def marks_of(attributes: str, tag: str) -> tuple[bool, bool, bool]:
+    """Whether an element is marked as boilerplate, is hidden, and has a class or id."""
+    marked = hidden = named = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if name in ("class", "id"):
-            if words and MARKS & set(re.split(r"[\s_\-:]+", value)):
-                return True
+            named = True
+            # A name on an element that holds content marks it only if the mark is all there is to it.
+            marked |= any(v in MARKS if tag in CONTENT else names_boilerplate(v) for v in value.split())
         elif name == "role":
-            if value in ROLES:
-                return True
+            marked |= value in ROLES
         elif name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         elif name == "hidden" or value == "true":
-            return True
-    return False
+            hidden = True
+    return marked, hidden, named
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order, white space folded."""
-    root = Element("", None, False, 0)
+def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
+    """Blocks of text in page order, white space folded; and the elements, parents first. Linear in the page."""
+    root = Element("", None, 0, 0, 1.0, 0)
+    elements, paths = [root], {}
     here, out, links, at = root, [], 0, 0
     current: Block | None = None
+    opened: Counter[str] = Counter()
 
-    def path(e: Element) -> tuple[str, ...]:
-        tags = []
-        while e.parent is not None:
-            tags.append(e.tag)
-            e = e.parent
-        return tuple(reversed(tags))
+    def path(parent: int, label: str) -> int:
+        return paths.setdefault((parent, label), len(paths) + 1)
 
     def add(text: str) -> None:
         nonlocal current
         if current is None:
             if not text or text.isspace():
                 return
-            current = Block(path(here) + (("a",) if links else ()), here)
+            current = Block(path(here.path, "a") if links else here.path, here)
             out.append(current)
         current.pieces.append(text)
         if links:
             current.linked += len(text)
 
-    def close(tags: frozenset[str] | set[str], until: frozenset[str] | set[str] = frozenset()) -> None:
+    def close(tags: frozenset[str]) -> None:
+        """Ends the innermost open element of these tags, and all inside it."""
         nonlocal here
-        e = here
-        while e.parent is not None and e.tag not in until:
-            if e.tag in tags:
-                here = e.parent
-                return
-            e = e.parent
+        while here.tag not in tags:
+            opened[here.tag] -= 1
+            here = here.parent
+        opened[here.tag] -= 1
+        here = here.parent
+
+    def start(tag: str, attributes: str) -> Element:
+        marked, hidden, named = marks_of(attributes, tag)
+        boilerplate = tag in BOILERPLATE and not (tag == "header" and (opened["article"] or opened["main"]))
+        closable = here.closable
+        if tag in SCOPES:
+            closable -= SCOPES[tag]
+        if tag in CLOSABLE:
+            closable |= {tag}
+        weight = here.weight * (MARKED if marked or boilerplate else 1.0)
+        element = Element(tag, here, len(elements), here.depth + 1, weight, path(here.path, tag + "!" * marked), closable, here.hidden or hidden, named)
+        elements.append(element)
+        opened[tag] += 1
+        return element
 
     end = len(page)
     while at < end:
@@ -144,7 +182,8 @@ def blocks_of(page: str) -> list[Block]:
                 links = max(0, links - 1)
             if tag in BLOCK:
                 current = None
-                close({tag})
+                if opened[tag] > 0:
+                    close(frozenset([tag]))
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
@@ -157,77 +196,75 @@ def blocks_of(page: str) -> list[Block]:
             links = 1
         if tag in BLOCK:
             current = None
-            if tag in CLOSES:
-                ended, until = CLOSES[tag]
-                close(set(ended.split()), set(until.split()))
-            elif tag != "option":
-                close({"p"}, {"td", "th", "button", "object"})
+            ended = CLOSES.get(tag, PARAGRAPH if tag != "option" else frozenset()) & here.closable
+            if ended:
+                close(ended)
             if tag not in VOID:
-                marked = tag in BOILERPLATE or is_marked(m[3], tag not in CONTENT)
-                named = any(name.lower() in ("class", "id") for name, _ in ATTRIBUTE.findall(m[3]))
-                here = Element(tag, here, here.boilerplate or marked, here.depth + 1, named)
+                here = start(tag, m[3])
     for b in out:
         b.text = " ".join("".join(b.pieces).split())
-    return [b for b in out if b.text]
+    return [b for b in out if b.text and not b.element.hidden], elements
 
 
-def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
-    """Smoothed and fused ratios: characters outside links and punctuation marks per node of each path."""
+def path_scores(blocks: list[Block]) -> dict[int, float]:
+    """Smoothed and fused ratios: characters outside links and punctuation marks per node of each path, times its weight."""
     nodes, chars, marks = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in blocks:
         nodes[b.path] += 1
         chars[b.path] += max(0, len(b.text) - b.linked)
         marks[b.path] += len(PUNCTUATION.findall(b.text))
     ratios = [(chars[b.path] / nodes[b.path], marks[b.path] / nodes[b.path]) for b in blocks]
-    sums: dict[tuple[str, ...], float] = defaultdict(float)
+    sums: dict[int, float] = defaultdict(float)
     for i, b in enumerate(blocks):
         near = [ratios[max(0, i - 1)], ratios[i], ratios[min(len(blocks) - 1, i + 1)]]
         length, punctuation = (sum(w * r[k] for w, r in zip(SMOOTH, near)) for k in (0, 1))
-        sums[b.path] += math.sqrt(length * (punctuation + 0.5))
+        sums[b.path] += math.sqrt(length * (punctuation + 0.5)) * b.element.weight
     return {p: s / nodes[p] for p, s in sums.items()}
 
 
-def main_text(page: str | None) -> str:
-    """The main text; empty for a null or empty page, and where every block is boilerplate."""
-    blocks = [b for b in blocks_of(page or "") if not b.element.boilerplate]
-    if not blocks:
-        return ""
-    scores = path_scores(blocks)
-    best = max(scores.values())
-    accepted = {p for p, s in scores.items() if s >= ACCEPT * best}
-    inside: dict[int, int] = defaultdict(int)
-    elements: dict[int, Element] = {}
-    total = 0
+def content_root(blocks: list[Block], elements: list[Element], accepted: set[int]) -> Element:
+    """The article or main element around nearly all accepted text, or else, around a part of a text, the element with all of it."""
+    inside = [0] * len(elements)
     for b in blocks:
         if b.path in accepted:
-            total += len(b.text)
-            e: Element | None = b.element
-            while e is not None:
-                inside[id(e)] += len(b.text)
-                elements[id(e)] = e
-                e = e.parent
-    root = max((e for k, e in elements.items() if inside[k] >= ROOT_SHARE * total), key=lambda e: e.depth)
+            inside[b.element.number] += len(b.text)
+    for e in reversed(elements[1:]):
+        inside[e.parent.number] += inside[e.number]
+    total = inside[0]
+    root = max((e for e in elements if inside[e.number] >= ROOT_SHARE * total), key=lambda e: e.depth)
     e = root
     while e is not None and e.tag not in ("article", "main"):
         e = e.parent
     if e is not None:
-        root = e
-    elif root.tag in PARTS or root.tag == "div" and not root.named:
-        while root.parent is not None and (inside[id(root)] < total or root.tag in PARTS):
+        return e
+    if root.tag in PARTS or root.tag == "div" and not root.named:
+        while root.parent is not None and (inside[root.number] < total or root.tag in PARTS):
             root = root.parent
-    whole = root.tag in ("", "html", "body")
+    return root
+
 
-    def under(e: Element | None) -> bool:
-        while e is not None:
-            if e is root:
-                return True
-            e = e.parent
-        return False
+def main_text(page: str | None) -> str:
+    """The main text; empty for a null or empty page, and for one without text outside hidden elements."""
+    blocks, elements = blocks_of(page or "")
+    if not blocks:
+        return ""
+    scores = path_scores(blocks)
+    best = max(scores.values())
+    accepted = {p for p, s in scores.items() if s >= ACCEPT * best}
+    root = content_root(blocks, elements, accepted)
+    whole = root.tag in ("", "html", "body")
+    under = [False] * len(elements)
+    for e in elements:
+        under[e.number] = e is root or e.parent is not None and under[e.parent.number]
 
     def kept(b: Block) -> bool:
-        if not under(b.element):
+        if not under[b.element.number]:
             return False
-        return b.path in accepted or b.element.tag in HEADINGS or not whole and b.linked < 0.5 * len(b.text)
+        weight = b.element.weight / root.weight
+        if whole:  # nothing holds the text together: a path stands for itself
+            return b.path in accepted or b.element.tag in HEADINGS and weight == 1
+        fused = (scores[b.path] / best) ** OWN * weight ** (1 - OWN) if best else 0.0
+        return fused >= KEEP and (b.path in accepted or b.element.tag in HEADINGS or b.linked < 0.5 * len(b.text))
 
     return "\n".join(b.text for b in blocks if kept(b))
 

@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon maps words (or word beginnings, written ``lowe*``) to symbols; four transducers (negation, reported speech,
-target, insult and threat weights) are composed into one machine that runs over the symbols of each clause. A clause
-scores only where the composed machine finds an insult or a threat in it, weighted by what stands around it; the
-document's score is the posterior of label 1 given the sum over its clauses.
+A lexicon maps words (or word beginnings, written ``lowe*``) to symbols with weights. Five weighted transducers are
+composed, each reading the tape that the one before it writes: reported speech and negation rewrite insults and threats
+to weak ones, a target before or after strengthens strong ones, and an acceptor lets a clause count if it holds an
+insult, or a threat and a target. The composed machine runs over each clause, not over isolated words; the document's
+score is the posterior of label 1 given the sum over its clauses.
 """
 
 from __future__ import annotations
@@ -12,90 +13,123 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import boxed, text_or_empty, unboxed
+from loomgraph.llm.common import boxed, materialize, unboxed
 
-#: Bound on the labelled rows that fit() reads, and on the lexicon that it learns.
+#: Bound on the labelled rows that fit() reads.
 MAX_LABELLED = 12_000
-MAX_LEXICON = 5_000
 #: Lengths of word beginnings that may stand for a family of inflected words.
 STEMS = (4, 5, 6)
 #: Terms that weigh less are no insults.
 LEAST_WEIGHT = math.log(4)
+#: Toxic documents that a term must be in; terms without any relation to the label that may pass the test by chance.
+LEAST_TOXIC, BY_CHANCE = 3, 10
 
-#: Closed classes of the grammar. Threats and targets are seeds; insults are learned.
+#: Closed classes of the grammar, in four languages. Threats and targets are seeds; insults are learned.
 SEEDS = {
-    "threat": "kill murder destroy strangle stab shoot töten umbringen tuer matar",
-    "target": "you your yours u ur they them du dich dir ihr euch sie tu te toi vous ils usted tú ustedes ellos",
-    "negation": "not never no none isn aren wasn don doesn nicht kein keine nie ne pas jamais nunca",
-    "report": "said says say wrote writes quoted claimed called reported sagte sagt schrieb dit écrit dijo dice escribió",
-}
+    "threat": ["kill", "murder", "destroy", "strangle", "stab", "shoot", "beat", "hurt", "burn", "töten", "umbringen", "erschießen", "schlagen", "tuer", "frapper", "brûler", "détruire", "matar", "golpear", "quemar", "destruir"],
+    "target": [
+        "you", "your", "yours", "yourself", "u", "ur", "they", "them", "their", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "euer", "sie", "tu", "te", "toi", "ton",
+        "ta", "vous", "votre", "ils", "elles", "usted", "ustedes", "tú", "ti", "vosotros", "ellos", "ellas",
+    ],
+    "negation": ["not", "never", "no", "none", "neither", "nor", "without", "isn", "aren", "wasn", "weren", "don", "doesn", "didn", "nicht", "kein", "keine", "keiner", "nie", "niemals", "ne", "pas", "jamais", "aucun", "aucune", "nunca", "jamás", "ningún", "ninguna"],
+    "report": [
+        "said", "says", "say", "wrote", "writes", "quoted", "claimed", "called", "reported", "told", "alleged", "sagte", "sagt", "sagten", "schrieb", "behauptete", "nannte", "zitierte", "dit", "écrit",
+        "affirmé", "prétendu", "dijo", "dice", "dijeron", "escribió", "afirmó", "llamó",
+    ],
+}
 THREAT_WEIGHT = 1.0
-#: Symbols: O other, I insult, T threat, Y target, N negation, R reporting verb.
+#: Symbols: O other, I insult, T threat, Y target, N negation, R reporting verb; small i and t: weak hits.
 SYMBOL = {"threat": "T", "target": "Y", "negation": "N", "report": "R"}
+STRONG, HITS = "IT", "ITit"
 ADDED = ["tox_score", "tox_clauses"]
 CLAUSE = re.compile(r"[.!?;\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-class Window:
-    """Transducer: for `reach` symbols after `opener`, hits get `factor`; reach None lasts to the end of the clause."""
+class Weakened:
+    """Transducer: for `reach` symbols after `opener` (None: to the clause's end), hits are written weak, times `factor`."""
 
     def __init__(self, opener: str, factor: float, reach: int | None):
         self.opener, self.factor, self.reach, self.start = opener, factor, reach, 0
 
-    def step(self, state: int, symbol: str) -> tuple[int, float]:
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
         if symbol == self.opener:
-            return (self.reach or 1), 1.0
-        weight = self.factor if state and symbol in "IT" else 1.0
-        return (max(0, state - 1) if self.reach else state), weight
+            return (self.reach or 1), symbol, 1.0
+        after = max(0, state - 1) if self.reach else state
+        return (after, symbol.lower(), self.factor) if state and symbol in HITS else (after, symbol, 1.0)
 
 
-class After:
-    """Transducer: `closer` within `reach` symbols after a hit gives `bonus` times that hit's weight once more."""
+class Aimed:
+    """Transducer: for `reach` symbols after a target, strong hits count `factor` times."""
 
-    def __init__(self, closer: str, reach: int):
-        self.closer, self.reach, self.start = closer, reach, 0
+    def __init__(self, factor: float, reach: int):
+        self.factor, self.reach, self.start = factor, reach, 0
 
-    def step(self, state: int, symbol: str) -> tuple[int, float]:
-        if symbol in "IT":
-            return self.reach, 1.0
-        return (0, -1.0) if symbol == self.closer and state else (max(0, state - 1), 1.0)
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        if symbol == "Y":
+            return self.reach, symbol, 1.0
+        return max(0, state - 1), symbol, self.factor if state and symbol in STRONG else 1.0
+
+
+class AimedAfter:
+    """Transducer: a target within `reach` symbols after a strong hit is written as Z, which strengthens that hit."""
+
+    def __init__(self, reach: int):
+        self.reach, self.start = reach, 0
+
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        if symbol in STRONG:
+            return self.reach, symbol, 1.0
+        return (0, "Z", 1.0) if symbol == "Y" and state else (max(0, state - 1), symbol, 1.0)
+
+
+class Acceptor:
+    """Accepts a clause with an insult, or with a threat and a target: a threat word alone threatens nobody."""
+
+    start, final = "", "I"
+    moves = {("", "T"): "T", ("", "Y"): "Y", ("T", "Y"): "I", ("Y", "T"): "I"}
+
+    def step(self, state: str, symbol: str) -> tuple[str, str, float]:
+        kind = "Y" if symbol == "Z" else symbol.upper()
+        return self.final if kind == "I" else self.moves.get((state, kind), state), symbol, 1.0
 
 
 class Composed:
-    """The product of transducers, determinised as its transitions are met; the weight of an arc is their weights' product."""
+    """The composition of transducers: each reads what the one before it writes, and the weights of their arcs multiply.
+
+    It is determinised as its arcs are met, so a long text takes one look-up a word.
+    """
 
     def __init__(self, *parts):
         self.parts, self.start, self.arcs = parts, tuple(p.start for p in parts), {}
 
-    def step(self, state: tuple, symbol: str) -> tuple[tuple, float]:
+    def step(self, state: tuple, symbol: str) -> tuple[tuple, str, float]:
         arc = self.arcs.get((state, symbol))
         if arc is None:
-            moves = [p.step(s, symbol) for p, s in zip(self.parts, state)]
-            weight = math.prod(w for _, w in moves)
-            arc = self.arcs[state, symbol] = (tuple(s for s, _ in moves), weight)
+            states, tape, weight = [], symbol, 1.0
+            for part, s in zip(self.parts, state):
+                s, tape, w = part.step(s, tape)
+                states.append(s)
+                weight *= w
+            arc = self.arcs[state, symbol] = (tuple(states), tape, weight)
         return arc
 
 
 def grammar() -> Composed:
-    return Composed(
-        Window("N", 0.5, 2),  # negated
-        Window("R", 0.4, None),  # reported speech, to the end of the clause
-        Window("Y", 1.5, 4),  # aimed at somebody
-        After("Y", 3),  # the same, target last
-    )
+    return Composed(Weakened("R", 0.4, None), Weakened("N", 0.5, 2), Aimed(1.5, 4), AimedAfter(3), Acceptor())
 
 
 @dataclass
 class Model:
     prior: float
     weights: dict[str, float]
-    seeds: dict[str, str] = field(default_factory=lambda: {w: k for k, ws in SEEDS.items() for w in ws.split()})
+    seeds: dict[str, str] = field(default_factory=lambda: {w: k for k, ws in SEEDS.items() for w in ws})
 
 
 class Scorer:
@@ -119,18 +153,16 @@ class Scorer:
         return got
 
     def clause(self, words: list[str]) -> float:
-        state, total, last, aimed = self.machine.start, 0.0, 0.0, False
+        state, total, last = self.machine.start, 0.0, 0.0
         for word in words:
             symbol, weight = self.symbol(word)
-            aimed |= symbol == "Y"
-            state, factor = self.machine.step(state, symbol)
-            if symbol in "IT":
+            state, written, factor = self.machine.step(state, symbol)
+            if written in HITS:
                 last = factor * weight
                 total += last
-            elif factor < 0:  # the target followed
+            elif written == "Z":
                 total += 0.5 * last
-        # A threat word threatens nobody unless the clause has a target.
-        return total if aimed or any(self.symbol(w)[0] == "I" for w in words) else 0.0
+        return total if state[-1] == Acceptor.final else 0.0
 
     def score(self, text: str | None) -> tuple[float, int]:
         """Posterior of label 1, and the number of clauses that matched."""
@@ -144,23 +176,17 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), matched
 
 
-def confidence(toxic: int) -> float:
-    """Of the bounds: more labelled rows mean more candidate terms, so a stricter test."""
-    return max(1.64, 1.15 * math.log10(max(toxic, 1)))
-
-
-def _bound(hits: float, n: float, upper: bool, z: float) -> float:
-    """Wilson's bound of a rate."""
-    if not n:
-        return 1.0 if upper else 0.0
-    p, side = hits / n, 1 if upper else -1
-    mid, half = p + z * z / (2 * n), z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return (mid + side * half) / (1 + z * z / n)
+def wilson(hits: Column, n: float, z: float, upper: bool) -> Column:
+    """Wilson's bound of the rate hits / n."""
+    p, side = hits / F.lit(float(n)), 1 if upper else -1
+    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return (p + z * z / (2 * n) + side * half) / (1 + z * z / n)
 
 
-def word_beginnings(words: str, n: int) -> Column:
-    """The first n letters of each longer word, marked as a beginning."""
-    return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+def terms_of(text: str | None) -> list[str]:
+    """The distinct words of a text as the scorer sees them, and the beginnings of the longer ones."""
+    words = set(WORD.findall((text or "").lower()))
+    return list(words | {w[:n] + "*" for n in STEMS for w in words if len(w) > n})
 
 
 def learn_labels(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -175,32 +201,35 @@ def learn_labels(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFra
     )
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, by_chance: float = BY_CHANCE) -> Model:
     """Learn the insult lexicon from a bounded sample of labelled rows.
 
     A term's weight is the log of a lower bound of its rate in toxic documents over an upper bound of its rate in the
-    others, so rare terms get none. Without labels of both kinds the lexicon is empty and every score is the prior.
+    others, so rare terms get none. Both bounds are Wilson's at the level at which, of all terms that are tried,
+    `by_chance` at most are expected to be out of theirs; every term of weight LEAST_WEIGHT or more is kept. Without
+    labels of both kinds the lexicon is empty and every score is the prior. Null texts are empty, labels whose document
+    is missing teach nothing, and a row that repeats counts again.
     """
+
+    @F.pandas_udf("array<string>")
+    def terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(terms_of)
+
     sample = learn_labels(labels, max_labelled)
     # The sample has at most max_labelled rows of two numbers, whatever the tables' size.
-    rows = documents.select("doc_id", text_or_empty().alias("t")).join(F.broadcast(sample), "doc_id")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), 1))
-    stems = [word_beginnings("w", n) for n in STEMS]
-    terms = rows.select("toxic", words.alias("w")).select("toxic", F.array_distinct(F.concat("w", *stems)).alias("terms"))
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = math.log((toxic + 1) / (total - toxic + 2))
     if not toxic or toxic == total:
         return Model(min(prior, 0.0), {})
-    counts = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
-    found = (
-        counts.filter((F.col("a") >= 3) & (F.col("a") * (total - toxic) > 4 * (F.col("n") - F.col("a")) * toxic))
-        .orderBy(F.col("a").desc(), (F.col("n") - F.col("a")), "term")
-        .limit(max_lexicon)
-        .collect()
-    )
-    z = confidence(toxic)
-    weights = {r.term: math.log(_bound(r.a, toxic, False, z) / _bound(r.n - r.a, total - toxic, True, z)) for r in found}
-    return Model(prior, {k: w for k, w in weights.items() if w >= LEAST_WEIGHT})
+    counts = rows.select("toxic", F.explode(terms("text")).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.filter(F.col("a") >= LEAST_TOXIC))
+    z = NormalDist().inv_cdf(1 - min(0.05, by_chance / max(counts.count(), 1)))
+    weight = F.log(wilson(F.col("a"), toxic, z, False) / wilson(F.col("n") - F.col("a"), total - toxic, z, True))
+    # Terms of a bounded sample, of which each has so many occurrences: their number is bounded as well.
+    found = counts.select("term", weight.alias("weight")).filter(F.col("weight") >= LEAST_WEIGHT).collect()
+    return Model(prior, {r.term: r.weight for r in found})
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

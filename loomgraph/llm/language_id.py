@@ -22,6 +22,8 @@ ORDERS = (1, 2, 3)
 #: Bound on the sample that fit() reads: documents of a language, whole texts.
 MAX_PER_LANGUAGE = 400
 CENTROIDS = 4
+#: Parts of a language in which the sample is looked for first.
+SALTS = 16
 #: Standard deviations below a centroid's mean cosine at which a text is rejected.
 REJECT_AT = 4.0
 ADDED = ["language", "language_score", "language_rejected"]
@@ -102,8 +104,10 @@ def fit(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, centroids: int =
     the number of languages alone. Without a usable row the model knows no language.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):  # a language of any size is cut in parts first
+        order = Window.partitionBy(*keys).orderBy("h", "doc_id")
+        ids = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).drop("n")
     # At most per_language rows of two columns for each language.
     sample = known.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
 

@@ -1,3 +1,5 @@
+"""Conversations formatted by way of the prefix tree, and read back from its tokens."""
+
 from pyspark.sql import functions as F
 
 from loomgraph.llm.chat_tree import chat_tree, read_back

@@ -1,3 +1,5 @@
+"""Exact duplicates of all documents."""
+
 from loomgraph.llm.common import table
 from loomgraph.llm.exact_dedup import exact_dedup
 

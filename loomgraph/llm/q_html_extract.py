@@ -1,3 +1,5 @@
+"""Main texts of all pages."""
+
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import table

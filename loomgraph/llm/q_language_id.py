@@ -1,3 +1,5 @@
+"""Languages of all documents, learned on four folds of five."""
+
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import crc_mod, table

@@ -1,3 +1,5 @@
+"""All documents without later copies of repeated runs of lines."""
+
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import table, text_or_empty

@@ -1,3 +1,5 @@
+"""Components of near duplicates over all documents."""
+
 from loomgraph.llm.common import table
 from loomgraph.llm.ngram_join import near_duplicates
 

@@ -1,3 +1,5 @@
+"""All documents packed into sequences."""
+
 from loomgraph.llm.common import table
 from loomgraph.llm.packing import pack
 

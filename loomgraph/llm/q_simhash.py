@@ -1,3 +1,5 @@
+"""Fingerprints of all documents and of their edited texts."""
+
 from loomgraph.llm.common import table
 from loomgraph.llm.simhash import fingerprint_report
 

@@ -1,3 +1,5 @@
+"""Toxicity scores of all documents, learned on two folds of three."""
+
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import table

@@ -1,8 +1,7 @@
-"""The queries of this subpackage and of corpus_pipeline.py, and their DuckDB twins."""
+"""The queries of this subpackage, and their DuckDB twins."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from loomgraph.llm import (
     q_chat_tree,
     q_exact_dedup,
@@ -20,9 +19,8 @@ MODULES = [q_toxicity, q_packing, q_chat_tree, q_mixing, q_html_extract, q_line_
 
 
 def queries():
-    return {m.NAME: m.query for m in MODULES} | {"pipeline": corpus_pipeline.run}
+    return {m.NAME: m.query for m in MODULES}
 
 
 def oracle_sql():
-    out = {m.NAME: m.ORACLE for m in MODULES if getattr(m, "ORACLE", None)}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {m.NAME: m.ORACLE for m in MODULES if getattr(m, "ORACLE", None)}

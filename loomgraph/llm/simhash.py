@@ -13,12 +13,6 @@ from loomgraph.llm.common import SPACES, materialize, text_or_empty
 BITS = 128
 LANES = 32
 LANE_MASK = 0x0000000100000001
-#: Neighbouring ids that are dealt to one task.
-NEIGHBOURS = 1024
-#: Up to so many parts (three columns each) are broadcast to find their first documents; beyond it they are joined by shuffle.
-BROADCAST_FIRSTS = 500_000
-
-
 def terms(text: Column) -> Column:
     """Pairs of neighbouring words as structs (a, b); of a text of one word that word and an empty one."""
     words = F.filter(F.split(text, SPACES), lambda w: w != "")
@@ -27,7 +21,7 @@ def terms(text: Column) -> Column:
 
 def vote_sums(a: Column, b: Column) -> dict[str, Column]:
     """Weighted votes for 1 on each bit, two bits to a sum (32 each), and the votes in all. A term weighs its length, 16 at most."""
-    weight = F.least(F.length(a) + F.length(b), F.lit(16)).cast("long")
+    weight = F.when(a.isNotNull(), F.least(F.length(a) + F.length(b), F.lit(16))).cast("long")
     out = {"votes": F.sum(weight)}
     for word, hashed in enumerate((F.xxhash64(a, b), F.xxhash64(b, a, F.lit(7)))):
         for i in range(LANES):
@@ -68,70 +62,66 @@ def likeness(a0: str, a1: str, b0: str, b1: str) -> Column:
     return (F.lit(1.0) - distance(*map(F.col, (a0, a1, b0, b1))) / F.lit(float(BITS))).cast("double")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (part, place, helper, doc_id, text, next_text): the next document by doc_id, after the last the first.
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, copies, n, next_id, next_h): the distinct documents, and the next one by doc_id, after the last the first.
 
-    Ids (numbers; null stands before all, ties by text) are dealt to parts of neighbours, and the first document of a
-    part is also sent to the part before as a helper, so no task sees more than a part and its helper.
+    Null ids stand before all, ties by a hash of the text, h; rows that repeat both are one entry. The sort is over
+    ranges of the narrow table, and only its partitions' first entries, one row each, are looked at together.
     """
-    part = F.floor(F.coalesce("doc_id", F.lit(-1)) / NEIGHBOURS).cast("long")
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("part", part)
-    firsts = rows.groupBy("part").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first_id"))
-    order = Window.orderBy("part")
-    firsts = firsts.select(
-        "first_id",
-        F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy(F.lit(1)))).alias("to"),
-        F.lag("part").over(order).isNull().alias("wraps"),
-    )
-    firsts = materialize(firsts)
-    few = firsts.count() <= BROADCAST_FIRSTS
-    heads = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("first_id"), "doc_id", "text").join(F.broadcast(firsts) if few else firsts, "first_id")
-    heads = heads.select("doc_id", "text", F.col("to").alias("part"), F.lit(True).alias("helper"))
-    rows = rows.withColumn("helper", F.lit(False)).unionByName(heads)
-    here = Window.partitionBy("part").orderBy("helper", F.col("doc_id").asc_nulls_first(), "text")
-    return rows.select("part", F.row_number().over(here).alias("place"), "helper", "doc_id", "text", F.lead("text").over(here).alias("next_text"))
-
-
-def edited(text: str, other: str) -> Column:
-    """The last quarter of the code points replaced by the first as many (or all) of the other text."""
-    n = F.length(text)
-    cut = F.floor(n / 4).cast("int")
-    return F.concat(F.substring(F.col(text), F.lit(1), n - cut), F.substring(F.col(other), F.lit(1), cut))
+    narrow = docs.groupBy("doc_id", F.xxhash64(text_or_empty()).alias("h")).agg(F.count(F.lit(1)).alias("copies"), F.first(F.length(text_or_empty())).alias("n"))
+    ordered = materialize(narrow.orderBy(F.col("doc_id").asc_nulls_first(), "h").withColumn("o", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("range", F.shiftright("o", 33))
+    key = F.struct("doc_id", "h")
+    firsts = ordered.groupBy("range").agg(F.min_by(key, "o").alias("first"))
+    along = Window.orderBy("range")
+    first_of_all = F.min_by("first", "range").over(Window.partitionBy(F.lit(1)))
+    firsts = firsts.select("range", F.coalesce(F.lead("first").over(along), first_of_all).alias("over"))
+    inside = Window.partitionBy("range").orderBy("o")
+    linked = ordered.withColumn("next", F.lead(key).over(inside)).join(F.broadcast(firsts), "range")
+    linked = linked.withColumn("next", F.coalesce("next", "over"))
+    return linked.select("doc_id", "h", "copies", "n", F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"))
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Empty and null texts have fingerprint 0. A lone document is its own next one.
+    The edited text has its last quarter of code points replaced by the first as many (or all) of the next document.
+    Empty and null texts have fingerprint 0. A lone document is its own next one; of rows that repeat id and text each
+    but the last is followed by its like. An empty table has no rows; other columns are not read.
     """
-    rows = with_next(docs)
-    changed = edited("text", "next_text")
-    both = rows.select(
-        "part",
-        "place",
-        "helper",
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.unhex(F.when(~F.col("helper"), F.sha2(changed, 256))).alias("sha"),
-        F.inline(
-            F.when(F.col("helper"), F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t"))))
-            .otherwise(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), changed.alias("t"))))
-        ),
-    )
-    keys = ["part", "place", "helper", "doc_id", "n_chars", "sha"]
-    prints = fingerprints(both, [*keys, "kind"], "t")
-    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    wide = prints.groupBy(*keys).agg(of(0, "fp0").alias("a0"), of(0, "fp1").alias("a1"), of(1, "fp0").alias("e0"), of(1, "fp1").alias("e1"))
-    here = Window.partitionBy("part").orderBy("place")
-    wide = wide.withColumns({"n0": F.lead("a0").over(here), "n1": F.lead("a1").over(here)}).filter(~F.col("helper"))
-    return wide.select(
-        "doc_id",
-        "n_chars",
-        F.lower(F.hex("sha")).alias("edited_sha256"),
-        as_hex("a0", "a1").alias("fingerprint"),
-        as_hex("e0", "e1").alias("edited_fingerprint"),
-        likeness("a0", "a1", "e0", "e1").alias("near_edited"),
-        likeness("a0", "a1", "n0", "n1").alias("near_next"),
+    order = materialize(in_order(docs))
+    texts = docs.groupBy("doc_id", F.xxhash64(text_or_empty()).alias("h")).agg(F.first(text_or_empty()).alias("text"))
+    # Null ids are keys like others.
+    key = lambda i, h: F.struct(F.col(i).isNull().alias("none"), F.coalesce(i, F.lit(0)).alias("id"), F.col(h).alias("h"))
+    texts = texts.select(key("doc_id", "h").alias("key"), "text")
+    order = order.select(key("doc_id", "h").alias("key"), key("next_id", "next_h").alias("next"), "copies", "n", F.floor(F.col("n") / 4).cast("int").alias("cut"))
+    # A document gives the one before it so many code points, which is all of it that travels again.
+    given = texts.join(order.select(F.col("next").alias("key"), F.col("key").alias("to"), "cut"), "key")
+    given = given.select(F.col("to").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("tail"))
+    rows = texts.join(order, "key").join(given, "key")
+    head = F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("cut"))
+    variants = [("own", F.col("text")), ("edited", F.concat(head, "tail"))]
+    # Followed by its like a document is edited with its own beginning.
+    variants.append(("again", F.when(F.col("copies") > 1, F.concat(head, F.substring(F.col("text"), F.lit(1), F.col("cut"))))))
+    made = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("t")) for k, t in variants]), lambda x: x["t"].isNotNull())
+    each = rows.select("key", F.inline(made)).withColumn("sha", F.unhex(F.when(F.col("kind") != "own", F.sha2("t", 256))))
+    prints = fingerprints(each, ["key", "kind", "sha"], "t")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("fp0", "fp1", "sha"))).alias(kind)
+    wide = materialize(prints.groupBy("key").agg(of("own"), of("edited"), of("again")))
+    following = wide.select(F.col("key").alias("next"), F.col("own").alias("following"))
+    found = wide.join(order.select("key", "next", "copies", "n"), "key").join(following, "next")
+    repeated = F.struct(F.col("again").alias("e"), F.col("own").alias("f"), (F.col("copies") - 1).alias("times"))
+    last = F.struct(F.col("edited").alias("e"), F.col("following").alias("f"), F.lit(1).cast("long").alias("times"))
+    found = found.select("key", "n", "own", F.inline(F.filter(F.array(last, repeated), lambda x: x["times"] > 0)))
+    found = found.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return found.select(
+        F.when(~F.col("key.none"), F.col("key.id")).alias("doc_id"),
+        F.col("n").cast("long").alias("n_chars"),
+        F.lower(F.hex("e.sha")).alias("edited_sha256"),
+        as_hex("own.fp0", "own.fp1").alias("fingerprint"),
+        as_hex("e.fp0", "e.fp1").alias("edited_fingerprint"),
+        likeness("own.fp0", "own.fp1", "e.fp0", "e.fp1").alias("near_edited"),
+        likeness("own.fp0", "own.fp1", "f.fp0", "f.fp1").alias("near_next"),
     )
 
 

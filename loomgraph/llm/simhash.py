@@ -16,7 +16,8 @@ LANE_MASK = 0x0000000100000001
 def terms(text: Column) -> Column:
     """Pairs of neighbouring words as structs (a, b); of a text of one word that word and an empty one."""
     words = F.filter(F.split(text, SPACES), lambda w: w != "")
-    return F.arrays_zip(words.alias("a"), F.slice(F.concat(words, F.array(F.lit(""))), 2, F.greatest(F.size(words) - 1, F.lit(1))).alias("b"))
+    pairs = F.greatest(F.size(words) - 1, F.lit(1))
+    return F.arrays_zip(F.slice(words, 1, pairs).alias("a"), F.slice(F.concat(words, F.array(F.lit(""))), 2, pairs).alias("b"))
 
 
 def vote_sums(a: Column, b: Column) -> dict[str, Column]:

@@ -66,7 +66,8 @@ def running_budget(df: DataFrame, keys: list[str], order: list[str | Column], te
 
     keys bound the window: a budget runs inside each group. Without keys the units are first cut to most_units in order.
     """
-    rows = df if keys else df.orderBy(*order).limit(most_units)
+    # Ranks alone are cut in each task before anything travels, so a large group sends most_units texts a task at most.
+    rows = top_k(df, keys, order, most_units).drop("rank") if keys else df.orderBy(*order).limit(most_units)
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"unit": F.row_number().over(w).cast("long"), "used": F.coalesce(F.sum(F.length(text)).over(before), F.lit(0)).cast("long")})

@@ -21,9 +21,18 @@ OUT, IN = EDGES + _walk_sql("caller", "callee", 2), EDGES + _walk_sql("callee",
 
 
 def _edges(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").select(F.col("user_id").alias("caller"), F.lead("user_id").over(w).alias("callee"))
-    return rows.filter("callee IS NOT NULL AND caller <> callee").distinct()
+    """Distinct pairs of users of neighbouring events of a type.
+
+    Events are dealt to hours, so a type of any size is many tasks; an hour's last event is followed by the first one of
+    the next hour that has any, and only these first events, one row an hour, are put in order by type.
+    """
+    events = table(spark, d, "events").select("event_type", "ts", "event_id", "user_id", F.date_trunc("hour", "ts").alias("hour"))
+    firsts = events.groupBy("event_type", "hour").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
+    over = F.lead("first").over(Window.partitionBy("event_type").orderBy("hour"))
+    inside = F.lead("user_id").over(Window.partitionBy("event_type", "hour").orderBy("ts", "event_id"))
+    rows = events.withColumn("inside", inside).join(firsts.select("event_type", "hour", over.alias("over")), ["event_type", "hour"])
+    edges = rows.select(F.col("user_id").alias("caller"), F.coalesce("inside", "over").alias("callee"))
+    return edges.filter("callee IS NOT NULL AND caller <> callee").distinct()
 
 
 def _seeds(spark, d):

@@ -133,44 +133,19 @@ def q_resolution_counts(spark, d):
     )
 
 
-@query("""WITH raw AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS raw FROM pages), alias AS (
-  SELECT a, min(id) AS id FROM (SELECT substr(regexp_replace(url, '^https?://', ''), 1, 22 + (page_id % 9)::INT) AS a, page_id AS id FROM pages WHERE page_id % 4 = 0) GROUP BY a)
-SELECT page_id, arg_max(a, length(a)) AS alias, arg_max(id, length(a)) AS target FROM raw LEFT JOIN alias ON starts_with(raw, a) AND length(a) > 4 GROUP BY page_id""")
-def q_longest_prefix(spark, d):
-    pages = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("raw"))
-    part = F.substring(F.col("raw"), F.lit(1), (22 + F.col("page_id") % 9).cast("int"))
-    aliases = pages.filter("page_id % 4 = 0").groupBy(part.alias("alias")).agg(F.min("page_id").alias("target"))
-    return R.longest_prefix_join(pages, "raw", aliases, "alias", "target").select("page_id", "alias", "target")
-
-
-@query("""WITH s AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events WHERE user_id % 10 = 0 GROUP BY 1)
-SELECT event_id, (SELECT min(user_id) FROM s WHERE events.event_id BETWEEN lo AND hi) AS symbol FROM events WHERE event_id < 2000""")
-def q_line_in_symbol(spark, d):
-    events = table(spark, d, "events")
-    spans = events.filter("user_id % 10 = 0").groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
-    # Spans are cut into ranges of lines, so a line meets only those of its range.
-    width = 512
-    cells = spans.select(F.col("user_id").alias("symbol"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("cell"))
-    lines = events.filter("event_id < 2000").select("event_id", F.floor(F.col("event_id") / width).alias("cell"))
-    found = lines.join(cells, "cell", "left").groupBy("event_id").agg(F.min(F.when(F.col("event_id").between(F.col("lo"), F.col("hi")), F.col("symbol"))).alias("symbol"))
-    return found.select("event_id", "symbol")
-
-
-# Every page's alias counts here, not a quarter of them.
 @query("""WITH raw AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS raw FROM pages), alias AS (
   SELECT a, min(id) AS id FROM (SELECT substr(regexp_replace(url, '^https?://', ''), 1, 22 + (page_id % 9)::INT) AS a, page_id AS id FROM pages) GROUP BY a)
 SELECT page_id, arg_max(a, length(a)) AS alias, arg_max(id, length(a)) AS target FROM raw LEFT JOIN alias ON starts_with(raw, a) AND length(a) > 4 GROUP BY page_id""")
-def q_longest_prefix_all(spark, d):
+def q_longest_prefix(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("raw"))
     part = F.substring(F.col("raw"), F.lit(1), (22 + F.col("page_id") % 9).cast("int"))
     aliases = pages.groupBy(part.alias("alias")).agg(F.min("page_id").alias("target"))
     return R.longest_prefix_join(pages, "raw", aliases, "alias", "target").select("page_id", "alias", "target")
 
 
-# The lookup above is over a part of the lines and symbols, this one over all.
 @query("""WITH s AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY 1)
 SELECT event_id, (SELECT min(user_id) FROM s WHERE events.event_id BETWEEN lo AND hi) AS symbol FROM events""")
-def q_line_in_symbol_all(spark, d):
+def q_line_in_symbol(spark, d):
     events = table(spark, d, "events")
     spans = events.groupBy(F.col("user_id").alias("symbol")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
     return R.smallest_around(events.select("event_id"), "event_id", spans, "symbol")
@@ -182,29 +157,17 @@ def q_frontier_semi(spark, d):
     return table(spark, d, "lineitem").join(urgent, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def q_visited_anti(spark, d):
-    seen = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    seen = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(seen, "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, t.p_partkey AS id, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n
-  FROM lineitem JOIN part s ON l_partkey = s.p_partkey JOIN part t ON t.p_name = s.p_name AND t.p_size = s.p_size AND t.p_brand <> s.p_brand WHERE l_linenumber = 1)
-SELECT l_orderkey, l_linenumber, id, 'cross_project_candidate' AS resolution FROM c WHERE n = 1""")
-def q_unique_candidate(spark, d):
-    part = table(spark, d, "part")
-    calls = table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey")
-    calls = calls.select("l_orderkey", "l_linenumber", "p_name", "p_size", F.col("p_brand").alias("own"))
-    met = calls.join(part.select("p_name", "p_size", "p_brand", F.col("p_partkey").alias("id")), ["p_name", "p_size"]).filter("p_brand <> own")
-    sole = met.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
-    return sole.select("l_orderkey", "l_linenumber", "id", F.lit("cross_project_candidate").alias("resolution"))
-
-
-# All lines are resolved here. Candidates are counted per name and brand, so a group of many parts makes no pairs.
+# Candidates are counted per name and brand, so a group of many parts makes no pairs.
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, t.p_partkey AS id, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n
   FROM lineitem JOIN part s ON l_partkey = s.p_partkey JOIN part t ON t.p_name = s.p_name AND t.p_size = s.p_size AND t.p_brand <> s.p_brand)
 SELECT l_orderkey, l_linenumber, id, 'cross_project_candidate' AS resolution FROM c WHERE n = 1""")
-def q_unique_candidate_all(spark, d):
+def q_unique_candidate(spark, d):
     part = table(spark, d, "part").filter("p_brand IS NOT NULL")
     brands = part.groupBy("p_name", "p_size", "p_brand").agg(F.count(F.lit(1)).alias("own"), F.min("p_partkey").alias("id"))
     brand = F.struct("p_brand", "id")
@@ -218,18 +181,9 @@ def q_unique_candidate_all(spark, d):
     return met.select("l_orderkey", "l_linenumber", "id", F.lit("cross_project_candidate").alias("resolution"))
 
 
-@query("""SELECT p.p_partkey, (SELECT min(e.p_partkey) FROM part e WHERE e.p_brand = p.p_brand AND e.p_type = p.p_type AND e.p_size % 10 = 0 AND (starts_with(e.p_name, split_part(p.p_name, ' ', 1)) OR starts_with(p.p_name, split_part(e.p_name, ' ', 1)))) AS edge FROM part p""")
-def q_bidirectional_prefix(spark, d):
-    part = table(spark, d, "part")
-    edges = part.filter("p_size % 10 = 0").select("p_brand", "p_type", F.col("p_partkey").alias("edge"), F.col("p_name").alias("other"))
-    met = part.join(edges, ["p_brand", "p_type"], "left")
-    either = F.col("other").startswith(textfn.first_segment("p_name", " ")) | F.col("p_name").startswith(textfn.first_segment("other", " "))
-    return met.groupBy("p_partkey").agg(F.min(F.when(either, F.col("edge"))).alias("edge"))
-
-
-# Every part is an edge here. The prefixes of names meet first words in equi-joins, both ways.
+# The prefixes of names meet first words in equi-joins, both ways.
 @query("""SELECT p.p_partkey, (SELECT min(e.p_partkey) FROM part e WHERE e.p_brand = p.p_brand AND e.p_type = p.p_type AND (starts_with(e.p_name, split_part(p.p_name, ' ', 1)) OR starts_with(p.p_name, split_part(e.p_name, ' ', 1)))) AS edge FROM part p""")
-def q_bidirectional_prefix_all(spark, d):
+def q_bidirectional_prefix(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_name", textfn.first_segment("p_name", " ").alias("first"))
     prefixes = part.withColumn("n", F.explode(F.sequence(F.lit(0), F.length("p_name"))))
     prefixes = prefixes.withColumn("prefix", F.substring(F.col("p_name"), F.lit(1), F.col("n")))

@@ -54,18 +54,10 @@ def q_slug(spark, d):
     return table(spark, d, "documents").select("doc_id", textfn.slug("text").alias("slug"))
 
 
-@query("""SELECT conv_id, turn, CASE regexp_extract(lower(text), '\\b(of|un|der|los|the)\\b', 1) WHEN 'of' THEN 'select' WHEN 'the' THEN 'select' WHEN 'un' THEN 'update' WHEN 'der' THEN 'delete' WHEN 'los' THEN 'insert' END AS kind
-FROM conversations WHERE regexp_matches(text, '^[ -~\\n]*$')""")
-def q_query_kind(spark, d):
-    markers = {"of": "select", "un": "update", "der": "delete", "los": "insert", "the": "select"}
-    rows = table(spark, d, "conversations").filter(F.col("text").rlike("^[ -~\\n]*$"))
-    return rows.select("conv_id", "turn", textfn.first_marker("text", markers).alias("kind"))
-
-
-# The query above is over rows in ASCII, where all engines agree on word boundaries; this one is over all rows.
+# Word boundaries are spelled out as classes of characters, on which all engines agree.
 @query(r"""SELECT conv_id, turn, CASE regexp_extract(lower(text), '(?:^|[^\p{L}\p{M}\p{Nd}\p{Pc}])(of|un|der|los|the)(?:$|[^\p{L}\p{M}\p{Nd}\p{Pc}])', 1) WHEN 'of' THEN 'select' WHEN 'the' THEN 'select' WHEN 'un' THEN 'update' WHEN 'der' THEN 'delete' WHEN 'los' THEN 'insert' END AS kind
 FROM conversations""")
-def q_query_kind_all(spark, d):
+def q_query_kind(spark, d):
     markers = {"of": "select", "un": "update", "der": "delete", "los": "insert", "the": "select"}
     return table(spark, d, "conversations").select("conv_id", "turn", textfn.first_marker("text", markers).alias("kind"))
 

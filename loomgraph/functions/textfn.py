@@ -58,6 +58,11 @@ def ascii_lower(x: Column) -> Column:
     return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def holds_lowered(x: str | Column, term: str) -> Column:
+    """Whether x, with A-Z lowered, holds the case-folded term: a capital letter of another script in x meets nothing."""
+    return ascii_lower(_c(x)).contains(term.casefold())
+
+
 def like_ascii(x: str | Column, term: str) -> Column:
     """Contains, with % and _ of the term as wildcards; upper and lower case differ for letters beyond ASCII only."""
     return ascii_lower(_c(x)).like("%" + "".join(c.lower() if c.isascii() else c for c in term) + "%")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -49,7 +50,7 @@ def _facts(path: str, language: str, content: bytes) -> dict:
 
 @dataclass
 class Facts:
-    """modules(module_id, path, name, ...), symbols(symbol_id, module_id, ...), calls, queries, references, objects(object_id, ...), errors(path, error)."""
+    """modules(module_id, path, name, ...), symbols(symbol_id, module_id, ...), calls, queries, references, objects(object_id, ...), errors(path, error); each with its project."""
 
     modules: DataFrame
     symbols: DataFrame
@@ -60,28 +61,43 @@ class Facts:
     errors: DataFrame
 
 
-def extract(files: DataFrame) -> Facts:
-    """The facts of files(relative_path, language, content). Ids are hashes of path and place, so they last over runs."""
+def parse(files: DataFrame) -> DataFrame:
+    """One row of nested facts for each analyzable file of files(relative_path, language, content)."""
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([_facts(*row) for row in zip(b["relative_path"], b["language"], b["content"])])
 
     chosen = files.filter(analyzable(F.col("relative_path"), F.col("language"))).select("relative_path", "language", "content")
-    raw = cut(chosen.mapInPandas(parsed, FACTS))
-    module_id = F.xxhash64("path", F.lit("module"))
-    symbol = lambda n: F.when(F.col(n).isNotNull(), F.xxhash64("path", F.lit("symbol"), F.col(n)))
+    return chosen.mapInPandas(parsed, FACTS)
+
+
+def extract(files: DataFrame, project: str = "") -> Facts:
+    return facts_of(cut(parse(files)), project)
+
+
+def facts_of(raw: DataFrame, project: str = "") -> Facts:
+    """The fact tables of parse()'s rows. Ids are hashes of project, path and place, so they last over runs."""
+    key = lambda kind, *place: F.xxhash64(F.lit(project), "path", F.lit(kind), *place)
+    module_id = key("module")
+    symbol = lambda n: F.when(F.col(n).isNotNull(), key("symbol", F.col(n)))
     modules = raw.filter("module IS NOT NULL").select(module_id.alias("module_id"), "path", "module.*")
     symbols = raw.select("path", F.posexplode("symbols").alias("ordinal", "s")).select(symbol("ordinal").alias("symbol_id"), module_id.alias("module_id"), "path", "ordinal", "s.*")
     part = lambda c: raw.select("path", F.posexplode(c).alias("ordinal", "x"))
-    calls = part("calls").withColumn("caller", F.col("x.caller")).select(F.xxhash64("path", F.lit("call"), "ordinal").alias("call_id"), module_id.alias("module_id"), "path", symbol("caller").alias("caller_id"), "x.name", "x.qualifier", "x.line", "x.column")
-    queries = part("queries").withColumn("caller", F.col("x.caller")).select(F.xxhash64("path", F.lit("query"), "ordinal").alias("query_id"), "path", symbol("caller").alias("caller_id"), "x.kind", "x.text", "x.tables", "x.line_start", "x.line_end")
+    calls = part("calls").withColumn("caller", F.col("x.caller")).select(key("call", "ordinal").alias("call_id"), module_id.alias("module_id"), "path", symbol("caller").alias("caller_id"), "x.name", "x.qualifier", "x.line", "x.column")
+    queries = part("queries").withColumn("caller", F.col("x.caller")).select(key("query", "ordinal").alias("query_id"), "path", symbol("caller").alias("caller_id"), "x.kind", "x.text", "x.tables", "x.line_start", "x.line_end")
     references = part("refs").withColumn("caller", F.col("x.caller")).select("path", module_id.alias("module_id"), symbol("caller").alias("caller_id"), "x.source", "x.target", "x.relation", "x.line")
     # A full name belongs to the first file that has it; a later file with one of these names is rejected as a whole.
     objects = part("objects").select("path", "ordinal", "x.*")
     again = F.row_number().over(Window.partitionBy("full_name").orderBy("path", "ordinal")) > 1
     marked = objects.withColumn("again", again.cast("int")).withColumn("bad", F.max("again").over(Window.partitionBy("path")))
     rejected = marked.filter("bad = 1").select("path").distinct()
-    good = marked.filter("bad = 0").select(F.xxhash64("path", F.lit("object"), "ordinal").alias("object_id"), "path", "kind", "name", "full_name", "parent", "synonym", "uuid")
+    good = marked.filter("bad = 0").select(key("object", "ordinal").alias("object_id"), "path", "kind", "name", "full_name", "parent", "synonym", "uuid")
     errors = raw.filter("error IS NOT NULL").select("path", "error").unionByName(rejected.select("path", F.concat("path", F.lit(": a full name is taken")).alias("error")))
-    return Facts(modules, symbols, calls, queries, references.join(rejected, "path", "left_anti"), good, errors)
+    tables = (modules, symbols, calls, queries, references.join(rejected, "path", "left_anti"), good, errors)
+    return Facts(*[t.withColumn("project", F.lit(project)) for t in tables])
+
+
+def together(parts: list[Facts]) -> Facts:
+    """The facts of several projects in one."""
+    return Facts(*[reduce(DataFrame.unionByName, [getattr(p, f.name) for p in parts]) for f in fields(Facts)])

@@ -11,50 +11,92 @@ from loomgraph.operators.extract import Facts
 from loomgraph.operators.relational import first_match_join, longest_prefix_join, sole_candidates
 
 
-def resolve_calls(facts: Facts, built_ins: frozenset[str] = frozenset(), platform: frozenset[str] = frozenset()) -> DataFrame:
-    """calls with resolution and resolved_id. built_ins and platform hold normalised names."""
+def _candidates(facts: Facts) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """symbols(symbol_id, module_id, n, is_export), modules by their names, and both joined."""
     symbols = facts.symbols.select("symbol_id", "module_id", normalize("name").alias("n"), "is_export")
     modules = facts.modules.select("module_id", normalize("name").alias("module"), normalize("owner_name").alias("owner"), "owner_kind")
-    owned = symbols.join(modules, "module_id")
+    return symbols, modules, symbols.join(modules, "module_id")
+
+
+def resolve_calls(facts: Facts, built_ins: frozenset[str] = frozenset(), platform: frozenset[str] = frozenset(), included: Facts | None = None) -> DataFrame:
+    """calls with resolution and resolved_id. built_ins and platform hold normalised names.
+
+    A call that the project itself has no candidate for may be met by exported symbols of the `included` projects.
+    """
+    symbols, modules, owned = _candidates(facts)
     own_names = F.explode(F.array_distinct(F.filter(F.array("module", "owner"), lambda x: x.isNotNull())))
+    _, more, others = _candidates(included) if included else (None, modules.limit(0), owned.limit(0))
+    others = others.filter("is_export")
     local = sole_candidates(symbols, ["module_id", "n"], "symbol_id", "local")
     qualified = sole_candidates(owned.select("symbol_id", "n", own_names.alias("q")).distinct(), ["q", "n"], "symbol_id", "qualified")
     common = sole_candidates(owned.filter("is_export AND owner_kind = 'common_module'"), ["n"], "symbol_id", "common")
     exported = sole_candidates(owned.filter("is_export"), ["n"], "symbol_id", "export")
-    known = modules.select(F.col("module").alias("q")).distinct().withColumn("is_module", F.lit(True))
+    theirs = sole_candidates(others.select("symbol_id", "n", own_names.alias("q")).distinct(), ["q", "n"], "symbol_id", "included")
+    their_common = sole_candidates(others.filter("owner_kind = 'common_module'"), ["n"], "symbol_id", "included_common")
+    their_export = sole_candidates(others, ["n"], "symbol_id", "included_export")
+    known = modules.unionByName(more).select(F.col("module").alias("q")).distinct().withColumn("is_module", F.lit(True))
     calls = facts.calls.withColumns({"n": normalize("name"), "q": normalize(first_segment("qualifier"))})
     rows = calls.join(local, ["module_id", "n"], "left").join(qualified, ["q", "n"], "left").join(common, "n", "left").join(exported, "n", "left").join(known, "q", "left")
+    rows = rows.join(theirs, ["q", "n"], "left").join(their_common, "n", "left").join(their_export, "n", "left")
     has_q, in_symbol = F.col("q").isNotNull(), F.col("caller_id").isNotNull()
     itself = has_q & in_symbol & F.col("q").isin(*vocab.SELF_QUALIFIERS) & F.col("local_n").isNotNull()
     outside = F.col("q").isin(*vocab.PLATFORM_QUALIFIERS) | F.col("q").isin(*vocab.MANAGER_KINDS)
     sole = lambda p: F.col(f"{p}_n") == 1
     bare = ~has_q & in_symbol
+    free = bare & F.col("local_n").isNull() & F.col("export_n").isNull()
     by_name = F.when(F.col("n").isin(*built_ins), "built_in").when(F.col("n").isin(*platform), "platform_api")
     resolution = (
         F.when(itself, F.when(sole("local"), "same_module_object").otherwise("ambiguous_qualified"))
         .when(has_q & F.col("qualified_n").isNotNull(), F.when(sole("qualified"), "qualified_module").otherwise("ambiguous_qualified"))
+        .when(has_q & F.col("included_n").isNotNull(), F.when(sole("included"), "included_qualified_module").otherwise("ambiguous_included_qualified"))
         .when(has_q & outside, "platform_api")
         .when(has_q, F.when(F.col("is_module"), "unresolved_qualified").otherwise("dynamic_qualified"))
         .when(bare & sole("local"), "same_module")
         .when(bare & F.col("local_n").isNull() & sole("common"), "global_common_module")
         .when(bare & F.col("local_n").isNull() & sole("export"), "unique_export")
+        .when(free & sole("included_common"), "included_global_common_module")
+        .when(free & F.col("included_common_n").isNull() & sole("included_export"), "included_unique_export")
         .when(by_name.isNotNull(), by_name)
         .when(bare & F.col("local_n").isNotNull(), "ambiguous_local")
         .when(bare & F.col("export_n").isNotNull(), "ambiguous_export")
+        .when(free & F.col("included_common_n").isNotNull(), "ambiguous_included_common_module")
+        .when(free & F.col("included_export_n").isNotNull(), "ambiguous_included_export")
         .otherwise("unresolved_unqualified")
     )
     rows = rows.withColumn("resolution", resolution)
     r = F.col("resolution")
     target = F.when(r.isin("same_module_object", "same_module"), F.col("local_id")).when(r == "qualified_module", F.col("qualified_id"))
     target = target.when(r == "global_common_module", F.col("common_id")).when(r == "unique_export", F.col("export_id"))
+    for name, candidate in (("included_qualified_module", "included"), ("included_global_common_module", "included_common"), ("included_unique_export", "included_export")):
+        target = target.when(r == name, F.col(f"{candidate}_id"))
     return rows.select(*facts.calls.columns, F.col("n").alias("normalized_name"), "resolution", target.alias("resolved_id"))
 
 
-def edges(facts: Facts, calls: DataFrame) -> DataFrame:
-    """source_kind, source_id, target_kind, target_id, target_name, relation, path, line: what depends on what."""
+def cross_project_candidates(calls: DataFrame, facts: Facts) -> DataFrame:
+    """calls without a target for which, of all projects' exported symbols, exactly one has the name: with resolved_id.
+
+    Where the call is qualified, that symbol's module must have the name of the first part of the qualifier.
+    """
+    _, _, owned = _candidates(facts)
+    exported = owned.filter("is_export").select("n", "module", "symbol_id")
+    open_calls = calls.filter("resolved_id IS NULL AND caller_id IS NOT NULL").withColumn("q", normalize(first_segment("qualifier")))
+    met = open_calls.select("call_id", F.col("normalized_name").alias("n"), "q").distinct().join(exported, "n").filter("q IS NULL OR q = module")
+    sole = sole_candidates(met, ["call_id"], "symbol_id", "x").filter("x_n = 1").select("call_id", "x_id")
+    found = open_calls.drop("q").join(sole, "call_id")
+    return found.withColumns({"resolved_id": F.col("x_id"), "resolution": F.lit("cross_project_candidate")}).drop("x_id")
+
+
+def edges(facts: Facts, calls: DataFrame, included: Facts | None = None) -> DataFrame:
+    """source_kind, source_id, target_kind, target_id, target_name, relation, path, line: what depends on what.
+
+    Names that the project's own objects don't explain may mean objects of the `included` projects.
+    """
     cols = ["source_kind", "source_id", "target_kind", "target_id", "target_name", "relation", "path", "line"]
-    aliases = facts.objects.select(F.explode(F.array(normalize("full_name"), normalize(F.concat_ws(".", "kind", "name")))).alias("alias"), "object_id", "full_name")
-    aliases = aliases.groupBy("alias").agg(F.min(F.struct("full_name", "object_id")).alias("o")).select("alias", F.col("o.object_id").alias("object_id"))
+    named = facts.objects.withColumn("theirs", F.lit(0))
+    if included:
+        named = named.unionByName(included.objects.withColumn("theirs", F.lit(1)))
+    aliases = named.select("theirs", F.explode(F.array(normalize("full_name"), normalize(F.concat_ws(".", "kind", "name")))).alias("alias"), "object_id", "full_name")
+    aliases = aliases.groupBy("alias").agg(F.min(F.struct("theirs", "full_name", "object_id")).alias("o")).select("alias", F.col("o.object_id").alias("object_id"))
 
     def to_objects(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("raw", normalize("target_name"))

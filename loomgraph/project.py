@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.textfn import like_ascii, normalize
+from loomgraph.functions.textfn import holds_lowered, like_ascii, normalize
 from loomgraph.operators import graph
-from loomgraph.operators.extract import Facts, extract
+from loomgraph.operators.extract import Facts, extract, together
 from loomgraph.operators.relational import count_where, staged_union, top_k
-from loomgraph.operators.resolve import edges, resolve_calls
+from loomgraph.operators.resolve import cross_project_candidates, edges, resolve_calls
 from loomgraph.sources.export import scan
 from loomgraph.sources.store import cut
 
@@ -17,12 +20,21 @@ from loomgraph.sources.store import cut
 class Project:
     """Facts, resolved calls and edges of one export; every answer is a DataFrame."""
 
-    def __init__(self, spark: SparkSession, root: str, built_ins: frozenset[str] = frozenset(), platform: frozenset[str] = frozenset()):
-        self.spark, self.root = spark, root
-        self.files = cut(scan(spark, root))
-        self.facts: Facts = extract(self.files)
-        self.calls_table = cut(resolve_calls(self.facts, built_ins, platform))
-        self.edges = cut(edges(self.facts, self.calls_table))
+    def __init__(
+        self, spark: SparkSession, root: str = "", built_ins: frozenset[str] = frozenset(), platform: frozenset[str] = frozenset(), name: str = "", include: Sequence[Project] = (), facts: Facts | None = None, files: DataFrame | None = None
+    ):
+        """An export under root, or facts and files that a workspace keeps. Included projects answer beside this one, after it."""
+        self.spark, self.root, self.name = spark, root, name
+        self.included = list({p.name: p for p in include if p.name != name}.values())
+        self.files = cut(scan(spark, root)) if files is None else files
+        own = extract(self.files, name) if facts is None else facts
+        theirs = together([p.own_facts for p in self.included]) if self.included else None
+        self.own_facts = own
+        self.own_calls = cut(resolve_calls(own, built_ins, platform, theirs))
+        self.own_edges = cut(edges(own, self.own_calls, theirs))
+        self.facts = together([own, *[p.own_facts for p in self.included]]) if self.included else own
+        self.calls_table = reduce(DataFrame.unionByName, [self.own_calls, *[p.own_calls for p in self.included]])
+        self.edges = reduce(DataFrame.unionByName, [self.own_edges, *[p.own_edges for p in self.included]])
 
     def entities(self) -> DataFrame:
         """kind, id, name, full_name, exported, synonym, details of metadata, modules and symbols."""
@@ -36,15 +48,14 @@ class Project:
 
     def find(self, term: str, limit: int = 100) -> DataFrame:
         """Symbols by exact name, then objects and modules by exact name; only if none is found, whatever contains the term."""
-        one = self.spark.range(1).select(F.lit(term).alias("term"))
         last = normalize(F.lit(term.rpartition(".")[2]))
-        e = self.entities().crossJoin(one)  # one row
-        symbols = e.filter((F.col("kind") == "symbol") & (normalize("name") == last) & normalize("full_name").contains(normalize(F.col("term"))))
-        exact = e.filter((F.col("kind") != "symbol") & ((F.col("name") == F.col("term")) | (F.col("full_name") == F.col("term"))))
-        found = staged_union([symbols.drop("term"), exact.drop("term")], ["full_name", "id"], limit)
+        e = self.entities()
+        symbols = e.filter((F.col("kind") == "symbol") & (normalize("name") == last) & normalize("full_name").contains(normalize(F.lit(term))))
+        exact = e.filter((F.col("kind") != "symbol") & ((F.col("name") == term) | (F.col("full_name") == term)))
+        found = cut(staged_union([symbols, exact], ["full_name", "id"], limit))
         if not found.isEmpty():
             return found
-        return staged_union([self.entities().filter(like_ascii("name", term) | like_ascii("full_name", term) | F.coalesce(like_ascii("synonym", term), F.lit(False)))], ["full_name", "id"], limit)
+        return staged_union([e.filter(like_ascii("name", term) | like_ascii("full_name", term) | F.coalesce(like_ascii("synonym", term), F.lit(False)))], ["full_name", "id"], limit)
 
     def symbols_for_entities(self, found: DataFrame, per_entity: int = 20) -> DataFrame:
         """Symbols found, and at most per_entity of each module or object: those with a directive first, then exported ones."""
@@ -69,7 +80,11 @@ class Project:
         """caller, callee, name, resolution, path, line, depth, direction. Unresolved calls show up on the way out."""
         if depth < 1:
             raise ValueError("depth must be at least 1")
-        links = self.calls_table.select(F.col("caller_id").alias("caller"), F.col("resolved_id").alias("callee"), "name", "resolution", "path", "line", "column")
+        known = self.calls_table
+        if self.included and direction != "incoming":
+            guessed = cross_project_candidates(known, self.facts)
+            known = known.join(guessed.select("call_id"), "call_id", "left_anti").unionByName(guessed)
+        links = known.select(F.col("caller_id").alias("caller"), F.col("resolved_id").alias("callee"), "name", "resolution", "path", "line", "column")
         rows = graph.calls(links, self.symbols_of(self.find(term, 50)), direction, depth)
         return rows.orderBy("depth", "direction", "path", "line", "column", "name").limit(limit)
 
@@ -89,19 +104,75 @@ class Project:
         rows = rows if group_by == "reason" else rows.filter(F.col("resolution").startswith("unresolved"))
         return rows.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value").limit(limit)
 
+    def audit_counters(self) -> DataFrame:
+        """One row: calls by how they were resolved, and dependencies without a target."""
+        r = F.col("resolution")
+        calls = count_where(
+            self.calls_table, calls=F.lit(True), resolved=F.col("resolved_id").isNotNull(), ambiguous=r.startswith("ambiguous"), built_in=r == "built_in", platform=r == "platform_api",
+            dynamic=r == "dynamic_qualified", unresolved=r.startswith("unresolved"),
+        )
+        return calls.crossJoin(count_where(self.edges, unresolved_dependencies=F.col("target_id").isNull()))  # one-row frames
+
     def summary(self) -> DataFrame:
-        """One row of counts."""
-        r, f = F.col("resolution"), self.facts
-        parts = [
-            count_where(self.calls_table, calls=F.lit(True), resolved=F.col("resolved_id").isNotNull(), ambiguous=r.startswith("ambiguous"), unresolved=r.startswith("unresolved"), built_in=r == "built_in", platform=r == "platform_api"),
-            *[count_where(t, **{k: F.lit(True)}) for k, t in (("metadata", f.objects), ("modules", f.modules), ("symbols", f.symbols), ("queries", f.queries), ("errors", f.errors))],
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.crossJoin(p)  # one-row frames
-        return out
-
-    def query_usage(self) -> DataFrame:
-        """path, line, table, operation, resolved: tables that embedded queries name."""
-        rows = self.edges.filter(F.col("relation").isin("query_read", "query_write"))
-        return rows.select("path", "line", F.col("target_name").alias("table"), F.col("relation").substr(7, 10).alias("operation"), F.col("target_id").isNotNull().alias("resolved"))
+        """One row of sixteen counts."""
+        f = self.facts
+        parts = [self.audit_counters(), count_where(self.edges, dependencies=F.lit(True)), count_where(f.symbols, symbols=F.lit(True), exported=F.col("is_export"))]
+        parts += [count_where(t, **{k: F.lit(True)}) for k, t in (("files", self.files), ("metadata", f.objects), ("modules", f.modules), ("queries", f.queries), ("errors", f.errors))]
+        return reduce(DataFrame.crossJoin, parts)  # one-row frames
+
+    def query_usage(self, term: str | None = None) -> DataFrame:
+        """path, line, symbol, query_kind, table, operation, resolved: tables that embedded queries name.
+
+        A table is resolved if an edge of the same place and operation, whose target's name begins like it or the other
+        way round, has a target.
+        """
+        q = self.facts.queries.select("query_id", "caller_id", "path", F.col("line_start").alias("line"), F.col("kind").alias("query_kind"), F.posexplode("tables").alias("place", "t"))
+        q = q.select("*", F.col("t.name").alias("table"), F.col("t.operation").alias("operation"), normalize("t.name").alias("key"))
+        if term:
+            q = q.filter(F.col("key").contains(normalize(F.lit(term))))
+        named = self.edges.filter(F.col("relation").startswith("query_")).select("path", "line", F.col("relation").substr(7, 10).alias("operation"), normalize("target_name").alias("target"), F.col("target_id").isNotNull().alias("hit"))
+        met = q.join(named, ["path", "line", "operation"], "left").filter(F.col("target").isNull() | F.col("target").startswith(F.col("key")) | F.col("key").startswith(F.col("target")))
+        resolved = met.groupBy("query_id", "place").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("resolved"))
+        symbols = self.facts.symbols.select(F.col("symbol_id").alias("caller_id"), F.col("name").alias("symbol"))
+        rows = q.join(resolved, ["query_id", "place"], "left").join(symbols, "caller_id", "left")
+        rows = rows.select("path", "line", "symbol", "query_kind", "table", "operation", F.coalesce("resolved", F.lit(False)).alias("resolved"), "place")
+        return rows.orderBy("path", "line", "place").drop("place")
+
+    def _direct_calls(self, term: str, side: str) -> DataFrame:
+        names = self.entities().filter("kind = 'symbol'").select("id", "full_name")
+        callers = names.select(F.col("id").alias("caller_id"), F.col("full_name").alias("a"))
+        callees = names.select(F.col("id").alias("resolved_id"), F.col("full_name").alias("b"))
+        rows = self.calls_table.join(callers, "caller_id", "left").join(callees, "resolved_id", "left")
+        caller, callee = F.coalesce("a", F.lit("<module>")), F.coalesce("b", F.concat_ws(".", "qualifier", "name"))
+        rows = rows.select(caller.alias("caller"), callee.alias("callee"), "resolution", "path", "line")
+        return rows.filter(normalize(side).contains(normalize(F.lit(term)))).orderBy("path", "line", "caller", "callee")
+
+    def callers(self, term: str) -> DataFrame:
+        """caller, callee, resolution, path, line of the calls whose target's name holds the term."""
+        return self._direct_calls(term, "callee")
+
+    def callees(self, term: str) -> DataFrame:
+        """The same for calls out of symbols whose name holds the term."""
+        return self._direct_calls(term, "caller")
+
+    def dependencies(self, term: str, incoming: bool = True, limit: int = 200) -> DataFrame:
+        """source_name, relation, target_name, resolved, path, line of edges whose target (incoming) or source name holds the term."""
+        names = self.entities().select(F.col("kind").alias("k"), F.col("id").alias("i"), "full_name")
+        of = lambda side: names.select(F.col("k").alias(f"{side}_kind"), F.col("i").alias(f"{side}_id"), F.col("full_name").alias(f"{side}_full"))
+        rows = self.edges.join(of("source"), ["source_kind", "source_id"], "left").join(of("target"), ["target_kind", "target_id"], "left")
+        rows = rows.select(
+            F.coalesce("source_full", F.concat(F.lit("<"), "source_kind", F.lit(">"))).alias("source_name"), "relation", F.coalesce("target_full", "target_name").alias("target_name"),
+            F.col("target_id").isNotNull().alias("resolved"), "path", "line",
+        )
+        return rows.filter(holds_lowered("target_name" if incoming else "source_name", term)).orderBy("source_name", "relation", "target_name", "path", "line").limit(limit)
+
+    def search(self, term: str, limit: int = 100) -> DataFrame:
+        """kind, name, place, details: objects whose name, full name or synonym holds the term, then symbols whose name does."""
+        f = self.facts
+        any_name = holds_lowered("name", term) | holds_lowered("full_name", term) | holds_lowered(F.coalesce("synonym", F.lit("")), term)
+        objects = f.objects.filter(any_name).select(F.concat(F.lit("metadata:"), "kind").alias("kind"), F.col("full_name").alias("name"), F.col("path").alias("place"), F.coalesce("synonym", F.lit("")).alias("details"), F.col("full_name").alias("o"))
+        owner = f.modules.select("module_id", F.col("full_name").alias("owner"))
+        flag = F.concat(F.lit("export="), F.when(F.col("is_export"), "True").otherwise("False"), F.lit("; directive="), F.coalesce("directive", F.lit("-")), F.lit("; region="), F.coalesce("region", F.lit("-")))
+        symbols = f.symbols.filter(holds_lowered("name", term)).join(owner, "module_id")
+        symbols = symbols.select(F.concat(F.lit("symbol:"), "kind").alias("kind"), F.concat_ws(".", "owner", "name").alias("name"), F.concat("path", F.lit(":"), F.col("line_start").cast("string")).alias("place"), flag.alias("details"), F.col("name").alias("o"))
+        return staged_union([objects, symbols], ["o", "place"], limit).drop("o", "stage")

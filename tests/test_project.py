@@ -150,3 +150,41 @@ def test_prompt_budget():
     assert len(prompt_context(package, 20_000)) <= 20_000
     with pytest.raises(AskError):
         prompt_context(package | {"source_units": [{"source": "z" * 800}] * 50}, 20_000)
+
+
+def test_knowledge_answers(project):
+    s = project.summary().first()
+    assert (s.files, s.exported, s.calls, s.resolved, s.platform, s.dynamic, s.unresolved, s.ambiguous, s.built_in) == (9, 1, 6, 2, 2, 1, 1, 0, 0) and len(s) == 16
+    assert s.dependencies > s.unresolved_dependencies == project.edges.filter("target_id IS NULL").count()
+    assert len(project.audit_counters().first()) == 8
+    assert {r.caller for r in project.callers("склады.остатки").collect()} == {"Склады.Вложенная", next(r.full_name for r in project.entities().filter("name = 'ОбработкаПроведения'").collect())}
+    assert [r.callee for r in project.callees("Вложенная").collect()] == ["Склады.Остатки", "Документы.Заказ.СоздатьДокумент"]
+    assert [(r.table, r.query_kind, r.symbol, r.resolved) for r in project.query_usage("запасы").collect()] == [("РегистрНакопления.Запасы.Остатки", "select", "Остатки", True)]
+    assert project.query_usage("нет").count() == 0
+    assert {r.relation for r in project.dependencies("апасы").collect()} == {"query_read"}
+    # Only A-Z are lowered, so a capital Cyrillic letter in a name is not met.
+    assert [r.name for r in project.search("статки").collect()] == ["Склады.Остатки"] and project.search("Остатки").count() == 0
+    assert project.search("овары").first().kind.startswith("metadata:")
+
+
+def test_included_projects(spark, tmp_path):
+    def export(name, files):
+        for path, text in files.items():
+            (tmp_path / name / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name / path).write_text(text, encoding="utf-8")
+        return str(tmp_path / name)
+
+    base_root = export("base", {"CommonModules/Общий/Ext/Module.bsl": "Функция Расчет() Экспорт\nКонецФункции\nФункция Скрытая()\nКонецФункции\n", "CommonModules/Общий.xml": XML.format("CommonModule", "Общий", "")})
+    call = "Процедура Вызов() Экспорт\n    Общий.Расчет();\n    Расчет();\n    Общий.Скрытая();\nКонецПроцедуры\n"
+    more_root = export("more", {"CommonModules/Доп/Ext/Module.bsl": call})
+    base, alone = Project(spark, base_root, name="base"), Project(spark, more_root, name="more")
+    assert {r.resolution for r in alone.calls_table.collect()} == {"dynamic_qualified", "unresolved_unqualified"}
+    both = Project(spark, more_root, name="more", include=[base, base])
+    assert {(r.qualifier, r.name): r.resolution for r in both.own_calls.collect()} == {("Общий", "Расчет"): "included_qualified_module", (None, "Расчет"): "included_global_common_module", ("Общий", "Скрытая"): "unresolved_qualified"}
+    assert [r.direction for r in both.calls("Расчет", "incoming").collect()] == ["incoming"] * 2
+    assert both.impact("Общий.Расчет", depth=1).filter("relation = 'calls'").count() == 2
+    assert {r.project for r in both.facts.symbols.collect()} == {"base", "more"}
+    # A call that was resolved without the other project is followed as a candidate where exactly one symbol fits.
+    both.calls_table = alone.own_calls.unionByName(base.own_calls)
+    hops = both.calls("Вызов", "outgoing").collect()
+    assert sorted(r.resolution for r in hops) == ["cross_project_candidate", "cross_project_candidate", "dynamic_qualified"]

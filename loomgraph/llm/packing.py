@@ -15,6 +15,7 @@ import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,13 +41,33 @@ PUNCTUATED = re.compile("(?<=[0-9a-z\u00df-\u00f6\u00f8-\u00ff\u0430-\u045f])([.
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class _Codes(dict):
+    """Numbers for chunks as they are met; `new` are those whose ids are still to be learned."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = code = len(self)
+        self.new.append(chunk)
+        return code
+
+
+def _grown(array: np.ndarray, least: int) -> np.ndarray:
+    if least <= len(array):
+        return array
+    out = np.zeros(max(least, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 class ChunkTokenizer:
     """Ids of whole texts by way of their chunks between spaces, which are encoded once each.
 
-    Right for tokenizers that compose (NFC), lower the case, drop white space and split words from punctuation. At most `most` chunks are remembered.
+    Right for tokenizers that compose (NFC), lower the case, drop white space and split words from punctuation. About `most` chunks are remembered.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,21 +75,20 @@ class ChunkTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.used = 0
+        self.codes, self.used = _Codes(), 0
         self.ids, self.starts, self.lengths, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
 
-    def learn(self, chunks: list[str]) -> None:
-        for chunk, encoded in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            ids, code = encoded.ids, len(self.codes)
-            if code == len(self.starts):
-                self.starts, self.lengths, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.ends))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[code], self.lengths[code], self.ends[code] = self.used, len(ids), chunk.endswith(SENTENCE_END)
-            self.codes[chunk] = code
-            self.used += len(ids)
+    def learn(self) -> None:
+        chunks, first = self.codes.new, len(self.codes) - len(self.codes.new)
+        self.codes.new = []
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        total, last = int(lengths.sum()), first + len(chunks)
+        self.starts, self.lengths, self.ends, self.ids = _grown(self.starts, last), _grown(self.lengths, last), _grown(self.ends, last), _grown(self.ids, self.used + total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.starts[first:last], self.lengths[first:last] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.ends[first:last] = [c.endswith(SENTENCE_END) for c in chunks]
+        self.used += total
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids, and the numbers of ids before which a sentence ends."""
@@ -79,10 +99,9 @@ class ChunkTokenizer:
         chunks = text.replace("\n", " ").split(" ")
         if len(self.codes) > self.most:
             self.clear()
-        missing = [c for c in dict.fromkeys(chunks) if c not in self.codes]
-        if missing:
-            self.learn(missing)
         codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
+        if self.codes.new:
+            self.learn()
         lengths = self.lengths[codes]
         after = np.cumsum(lengths)
         # The place of each id: its chunk's start, and its number within the chunk.

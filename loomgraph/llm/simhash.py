@@ -90,33 +90,33 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     Empty and null texts have fingerprint 0. A lone document is its own next one; of rows that repeat id and text each
     but the last is followed by its like. An empty table has no rows; other columns are not read.
     """
-    order = materialize(in_order(docs))
-    texts = docs.groupBy("doc_id", F.xxhash64(text_or_empty()).alias("h")).agg(F.first(text_or_empty()).alias("text"))
-    # Null ids are keys like others.
-    key = lambda i, h: F.struct(F.col(i).isNull().alias("none"), F.coalesce(i, F.lit(0)).alias("id"), F.col(h).alias("h"))
-    texts = texts.select(key("doc_id", "h").alias("key"), "text")
-    order = order.select(key("doc_id", "h").alias("key"), key("next_id", "next_h").alias("next"), "copies", "n", F.floor(F.col("n") / 4).cast("int").alias("cut"))
+    # Null ids are keys like others. One exchange by the key serves the grouping, both joins and the votes.
+    keyed = lambda i: [F.col(i).isNull().alias("none"), F.coalesce(i, F.lit(0)).alias("id")]
+    key, next_key = ["none", "id", "h"], ["next_none", "next_id", "next_h"]
+    texts = docs.select(*keyed("doc_id"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text")).groupBy(*key).agg(F.first("text").alias("text"))
+    order = in_order(docs).select(*keyed("doc_id"), "h", "copies", "n", F.floor(F.col("n") / 4).cast("int").alias("cut"), F.struct(*keyed("next_id"), F.col("next_h").alias("h")).alias("x"))
+    order = materialize(order.select(*key, "copies", "n", "cut", *[F.col(f"x.{a}").alias(b) for a, b in zip(key, next_key)]))
     # A document gives the one before it so many code points, which is all of it that travels again.
-    given = texts.join(order.select(F.col("next").alias("key"), F.col("key").alias("to"), "cut"), "key")
-    given = given.select(F.col("to").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("tail"))
-    rows = texts.join(order, "key").join(given, "key")
+    wanted = order.select(*[F.col(b).alias(a) for a, b in zip(key, next_key)], *[F.col(a).alias(f"to_{a}") for a in key], "cut")
+    given = texts.join(wanted, key).select(*[F.col(f"to_{a}").alias(a) for a in key], F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("tail"))
+    rows = texts.join(order, key).join(given, key)
     head = F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("cut"))
     variants = [("own", F.col("text")), ("edited", F.concat(head, "tail"))]
     # Followed by its like a document is edited with its own beginning.
     variants.append(("again", F.when(F.col("copies") > 1, F.concat(head, F.substring(F.col("text"), F.lit(1), F.col("cut"))))))
     made = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("t")) for k, t in variants]), lambda x: x["t"].isNotNull())
-    each = rows.select("key", F.inline(made)).withColumn("sha", F.unhex(F.when(F.col("kind") != "own", F.sha2("t", 256))))
-    prints = fingerprints(each, ["key", "kind", "sha"], "t")
+    each = rows.select(*key, F.inline(made)).withColumn("sha", F.unhex(F.when(F.col("kind") != "own", F.sha2("t", 256))))
+    prints = fingerprints(each, [*key, "kind", "sha"], "t")
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("fp0", "fp1", "sha"))).alias(kind)
-    wide = materialize(prints.groupBy("key").agg(of("own"), of("edited"), of("again")))
-    following = wide.select(F.col("key").alias("next"), F.col("own").alias("following"))
-    found = wide.join(order.select("key", "next", "copies", "n"), "key").join(following, "next")
+    wide = materialize(prints.groupBy(*key).agg(of("own"), of("edited"), of("again")))
+    following = wide.select(*[F.col(a).alias(b) for a, b in zip(key, next_key)], F.col("own").alias("following"))
+    found = wide.join(order.drop("cut"), key).join(following, next_key)
     repeated = F.struct(F.col("again").alias("e"), F.col("own").alias("f"), (F.col("copies") - 1).alias("times"))
     last = F.struct(F.col("edited").alias("e"), F.col("following").alias("f"), F.lit(1).cast("long").alias("times"))
-    found = found.select("key", "n", "own", F.inline(F.filter(F.array(last, repeated), lambda x: x["times"] > 0)))
+    found = found.select("none", "id", "n", "own", F.inline(F.filter(F.array(last, repeated), lambda x: x["times"] > 0)))
     found = found.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return found.select(
-        F.when(~F.col("key.none"), F.col("key.id")).alias("doc_id"),
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.lower(F.hex("e.sha")).alias("edited_sha256"),
         as_hex("own.fp0", "own.fp1").alias("fingerprint"),

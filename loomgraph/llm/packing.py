@@ -27,7 +27,7 @@ from loomgraph.llm.common import text_or_empty
 
 WINDOW = 2048
 #: Windows that are read ahead before the stream is cut; the last of them wait for what follows.
-AHEAD, WAITING = 64, 2
+AHEAD, WAITING = 256, 2
 #: Sequences of one sorted partition.
 PER_PARTITION = 1 << 40
 #: Penalties, in tokens of padding: a cut at the end of a sentence, and one inside a sentence.

@@ -89,7 +89,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = named.join(array.select("d", F.col("i").alias("s2"), "k", F.col("r").alias("b")), ["d", "s2", "k"])
     named = materialize(named.select("doc_id", "d", "s", "m", "a", "b"))
     place = F.struct(F.col("doc_id"), F.col("d"), F.col("s"))
-    intervals = named.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # A table of their own: both sides of the join are then plain shuffles, and Spark splits a run that very many lines begin.
+    intervals = materialize(named.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     later = named.join(intervals, ["m", "a", "b"]).filter((F.col("d") != F.col("first.d")) | (F.col("s") != F.col("first.s")))
     inside = later.select("d", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("m") - 1)).alias("i")).distinct()
     return inside.join(known, ["d", "i"]).groupBy("d").agg(F.collect_list("p").alias("deleted"))

@@ -290,6 +290,7 @@ def near_duplicates(docs: DataFrame, frequent: int = FREQUENT, broadcast_ids: in
     found = materialize(components(proven.unionByName(links)))
 
     labels = classes.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    labels = labels.select("key", F.coalesce("component", "rep").alias("component_id"))
+    # A table of their own: both sides of the join are then plain shuffles, and Spark splits a text with very many copies.
+    labels = materialize(labels.select("key", F.coalesce("component", "rep").alias("component_id")))
     out = read.select("doc_id", "n", "key").join(labels, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -72,7 +72,7 @@ def test_every_line_is_looked_up_in_every_symbol(spark, tmp_path):
 
     rows = [(i, i // 50 + 1) for i in range(3000)]
     spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
-    got = {r.event_id: r.symbol for r in catalogue.QUERIES["q_line_in_symbol_all"](spark, str(tmp_path)).collect()}
+    got = {r.event_id: r.symbol for r in catalogue.QUERIES["q_line_in_symbol"](spark, str(tmp_path)).collect()}
     assert got == dict(rows)
 
 
@@ -82,7 +82,7 @@ def test_query_kind_of_rows_beyond_ascii(spark, tmp_path):
     texts = {"à un ami": "update", "für der Weg": "delete", "él, los niños": "insert", "éun unä": None, "«the»": "select", "the end": "select", "été": None, None: None}
     rows = [(i, 0, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.conv_id: r.kind for r in catalogue.QUERIES["q_query_kind_all"](spark, str(tmp_path)).collect()}
+    got = {r.conv_id: r.kind for r in catalogue.QUERIES["q_query_kind"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(texts.values()))
 
 
@@ -107,16 +107,16 @@ def test_joins_over_all_rows_against_brute_force(spark, tmp_path):
         met = [p[0] for p in parts if p[1] == name and p[4] == size and brand and p[2] and p[2] != brand]
         if len(met) == 1:
             want[order, line] = met[0]
-    assert {(r.l_orderkey, r.l_linenumber): r.id for r in run("q_unique_candidate_all")} == want
+    assert {(r.l_orderkey, r.l_linenumber): r.id for r in run("q_unique_candidate")} == want
     assert {line for _, line in want} == {1, 2, 3, 4}
 
     either = lambda p, e: e[1].startswith(p[1].split(" ")[0]) or p[1].startswith(e[1].split(" ")[0])
     want = {p[0]: min((e[0] for e in parts if p[2] and p[2:4] == e[2:4] and either(p, e)), default=None) for p in parts}
-    assert {r.p_partkey: r.edge for r in run("q_bidirectional_prefix_all")} == want
+    assert {r.p_partkey: r.edge for r in run("q_bidirectional_prefix")} == want
 
     raw = {i: url[8:] for i, url in pages}
     aliases = {}
     for i, r in raw.items():
         aliases.setdefault(r[: 22 + i % 9], i)
     want = {i: max(((len(a), a, t) for a, t in aliases.items() if r.startswith(a)), default=(0, None, None))[1:] for i, r in raw.items()}
-    assert {r.page_id: (r.alias, r.target) for r in run("q_longest_prefix_all")} == want
+    assert {r.page_id: (r.alias, r.target) for r in run("q_longest_prefix")} == want

@@ -31,6 +31,8 @@ SEED = 2024
 MOST_BUCKETS = 1 << 24
 #: Longer words are rare and get their CRC one by one.
 LONG_WORD = 48
+#: About as many characters are worked on at a time.
+PIECE = 1 << 20
 ADDED = ["n_features", "n_words", "weight", "score", "rank"]
 
 #: Each byte of a UTF-8 text: itself, A-Z in lower case, or 0 where it is part of no word.
@@ -95,10 +97,34 @@ def word_crcs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return register ^ np.uint32(0xFFFFFFFF), length, start
 
 
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_crcs() of a text of any length, cut between words into pieces of about PIECE bytes."""
+    found, at = [], 0
+    while at < len(text) or not found:
+        end = min(at + PIECE, len(text))
+        while end < len(text) and _BYTES[text[end]]:
+            end += 1
+        crc, length, start = word_crcs(text[at:end])
+        found.append((crc, length, start + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def few(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of neighbouring texts of about PIECE characters together."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > PIECE:
+            yield slice(begin, i)
+            begin, size = i, 0
+        size += len(t or "")
+    yield slice(begin, len(texts))
+
+
 def features(texts: list[str | None], orders: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The buckets of all features of the texts, the text that each is of, and the number of words of each text."""
     parts = [(t or "").encode("utf-8", "replace") for t in texts]
-    crc, length, start = word_crcs(b"\0".join(parts))
+    crc, length, start = words_of(b"\0".join(parts))
     text = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), start, side="right")
     words = np.bincount(text, minlength=len(parts))
     found, of, so_far = [crc % np.uint32(buckets)], [text], crc
@@ -116,8 +142,9 @@ def bucket_counts(texts: DataFrame, orders: int, buckets: int) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(buckets, dtype=np.int64)
-        for b in batches:
-            total += np.bincount(features(list(b["text"]), orders, buckets)[0], minlength=buckets)
+        for texts in (list(b["text"]) for b in batches):
+            for some in few(texts):
+                total += np.bincount(features(texts[some], orders, buckets)[0], minlength=buckets)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": used, "n": total[used]})
 
@@ -153,11 +180,13 @@ def weigh(docs: DataFrame, model: Importance) -> DataFrame:
 
     @F.pandas_udf("n_features long, n_words long, weight long")
     def mean(text: pd.Series) -> pd.DataFrame:
-        bucket, of, words = features(list(text), orders, len(gains))
-        n = np.bincount(of, minlength=len(text))
-        total = np.zeros(len(text), dtype=np.int64)
-        np.add.at(total, of, gains[bucket])
-        return pd.DataFrame({"n_features": n, "n_words": words, "weight": total // np.maximum(n, 1)})
+        texts, out = list(text), []
+        for some in few(texts):
+            bucket, of, words = features(texts[some], orders, len(gains))
+            n, total = np.bincount(of, minlength=len(words)), np.zeros(len(words), dtype=np.int64)
+            np.add.at(total, of, gains[bucket])
+            out.append(pd.DataFrame({"n_features": n, "n_words": words, "weight": total // np.maximum(n, 1)}))
+        return pd.concat(out, ignore_index=True)
 
     rows = boxed(docs, ADDED[:3], t=F.col("text")).withColumn("m", mean("t"))
     return rows.select(*unboxed(docs, ADDED[:3]), "m.*")

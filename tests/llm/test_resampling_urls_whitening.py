@@ -35,6 +35,15 @@ def test_features_without_their_strings(orders):
     assert n_words.tolist() == [len(words(t)) for t in texts]
 
 
+def test_texts_are_worked_on_in_pieces(monkeypatch):
+    whole = importance.features(TEXTS, 3, 997)
+    monkeypatch.setattr(importance, "PIECE", 50)
+    for a, b in zip(whole, importance.features(TEXTS, 3, 997), strict=True):
+        assert a.tolist() == b.tolist()
+    runs = list(importance.few(TEXTS))
+    assert [i for r in runs for i in range(r.start, r.stop)] == list(range(len(TEXTS))) and len(runs) > 3
+
+
 def test_crcs_combine():
     rng = random.Random(5)
     parts = [(rng.randbytes(rng.randrange(40)), rng.randbytes(rng.choice([0, 1, 7, 64, 5000]))) for _ in range(50)]

@@ -1,11 +1,13 @@
-"""Facts of one source module: symbols, calls, embedded queries, references to managers."""
+"""Facts of one source module: symbols, calls, embedded queries, references to objects, directives."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import takewhile
 
-from loomgraph.functions.vocab import MANAGER_KINDS, NO_CALLS, full_name, normalize
+from loomgraph.functions.vocab import MANAGER_KINDS, NO_CALLS, TYPE_PREFIXES, full_name, normalize
 
 NAME = r"[A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-яЁё0-9_]*"
 TOKEN = re.compile(rf'(?P<comment>//[^\r\n]*)|(?P<string>"(?:[^"]|"")*(?:"|\Z))|(?P<name>{NAME})|(?P<line>\r\n|\r|\n)|(?P<mark>[^\s])')
@@ -76,7 +78,7 @@ def _parameters(tokens: list[tuple]) -> list[dict]:
 
 
 def parse_module(text: str) -> dict:
-    """symbols, calls, queries, references of a module; lines count from 1, at CR, LF and CRLF alike."""
+    """symbols, calls, queries, references, directives of a module; lines count from 1, at CR, LF and CRLF alike."""
     lines = re.split(r"\r\n|\r|\n", text)
     tokens, line, start = [], 1, 0
     for m in TOKEN.finditer(text):
@@ -106,7 +108,7 @@ def parse_module(text: str) -> dict:
         kind, last = OPENS[low[i]], tokens[closed][2]
         ends = next((j for j in range(closed, len(tokens)) if low[j] in CLOSES[kind]), None)
         first, final = tokens[i][2], tokens[ends][2] if ends is not None else len(lines)
-        export = any(low[j] in EXPORT for j in range(closed, len(tokens)) if tokens[j][2] == last)
+        export = any(low[j] in EXPORT for j in takewhile(lambda j: tokens[j][2] == last, range(closed, len(tokens))))
         symbols.append({
             "name": tokens[i + 1][1], "kind": kind, "is_export": export, "directive": _directive_above(lines, first), "region": regions[first - 1],
             "line_start": first, "line_end": final, "signature": "\n".join(lines[first - 1 : last]), "parameters": _parameters(tokens[opened + 1 : closed]),
@@ -116,8 +118,12 @@ def parse_module(text: str) -> dict:
             break
         after = ends + 1
 
+    begins, ends_at = [s["line_start"] for s in symbols], [s["line_end"] for s in symbols]
+
     def caller(n: int) -> int | None:
-        return next((k for k, s in enumerate(symbols) if s["line_start"] <= n <= s["line_end"]), None)
+        """The first symbol whose lines hold n. Symbols follow each other and share a line at most, so both ends ascend."""
+        k = bisect_right(ends_at, n - 1)
+        return k if k < len(symbols) and begins[k] <= n else None
 
     calls, queries, references, i = [], [], {}, 0
     while i < len(tokens):
@@ -132,12 +138,17 @@ def parse_module(text: str) -> dict:
             declared = i and (low[i - 1] in OPENS or mark(i - 1, "&"))
             if mark(j, "(") and value.lower() not in NO_CALLS and not declared:
                 calls.append({"name": chain[-1], "qualifier": ".".join(chain[:-1]) or None, "line": at, "column": column, "caller": caller(at)})
-            if len(chain) > 1 and (manager := MANAGER_KINDS.get(normalize(value))):
-                target = full_name(manager, chain[1])
-                references.setdefault((at, normalize(target)), {"target": target, "relation": "manager_access", "line": at, "caller": caller(at)})
+            for left, right in zip(chain, chain[1:]):  # each pair of neighbours may name an object
+                known, relation = MANAGER_KINDS.get(normalize(left)), "manager_access"
+                if known is None:
+                    known, relation = TYPE_PREFIXES.get(normalize(left)), "type_reference"
+                if known:
+                    target = full_name(known, right)
+                    references.setdefault((at, normalize(target), relation), {"target": target, "relation": relation, "line": at, "caller": caller(at)})
             i = j
             continue
         if kind == "name" and mark(i + 1, "("):  # a call on a call's result: its name alone
             calls.append({"name": value, "qualifier": None, "line": at, "column": column, "caller": caller(at)})
         i += 1
-    return {"symbols": symbols, "calls": calls, "queries": queries, "references": list(references.values())}
+    directives = [{"name": m[1], "line": n} for n, line in enumerate(lines, 1) if (m := DIRECTIVE.match(line))]
+    return {"symbols": symbols, "calls": calls, "queries": queries, "references": list(references.values()), "directives": directives}

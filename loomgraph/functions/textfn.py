@@ -59,8 +59,8 @@ def ascii_lower(x: Column) -> Column:
 
 
 def holds_lowered(x: str | Column, term: str) -> Column:
-    """Whether x, with A-Z lowered, holds the case-folded term: a capital letter of another script in x meets nothing."""
-    return ascii_lower(_c(x)).contains(term.casefold())
+    """Whether x holds the term, both in lower case, whatever their script."""
+    return F.lower(_c(x)).contains(F.lower(F.lit(term)))
 
 
 def like_ascii(x: str | Column, term: str) -> Column:

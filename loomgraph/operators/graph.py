@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.sources.store import cut
 
 
-def walk(edges: DataFrame, seeds: DataFrame, source: list[str], target: list[str], depth: int) -> DataFrame:
+def walk(edges: DataFrame, seeds: DataFrame, source: list[str], target: list[str], depth: int, more: Callable[[DataFrame], DataFrame] = lambda met: met) -> DataFrame:
     """The edges met within `depth` levels from seeds, with the level (1 first). Nodes are expanded once, at their first level.
 
     source and target name the columns of a node on the side walked from and to; seeds has the columns of source. A null
-    in the target's columns ends the walk there.
+    in the target's columns ends the walk there. `more` may add rows to the edges that leave a frontier.
     """
     frontier = cut(seeds.select(*source).distinct())
     visited, out = frontier, None
     for level in range(1, depth + 1):
-        met = cut(edges.join(frontier, source, "left_semi").withColumn("depth", F.lit(level).cast("long")))
+        met = cut(more(edges.join(frontier, source, "left_semi")).withColumn("depth", F.lit(level).cast("long")))
         out = met if out is None else out.unionByName(met)
         if level == depth:
             break
@@ -29,11 +31,14 @@ def walk(edges: DataFrame, seeds: DataFrame, source: list[str], target: list[str
     return out
 
 
-def calls(edges: DataFrame, seeds: DataFrame, direction: str, depth: int) -> DataFrame:
-    """Call chains over edges(caller, callee) from seeds(node): incoming, outgoing, or both with frontiers of their own."""
+def calls(edges: DataFrame, seeds: DataFrame, direction: str, depth: int, more: Callable[[DataFrame], DataFrame] = lambda met: met) -> DataFrame:
+    """Call chains over edges(caller, callee) from seeds(node): incoming, outgoing, or both with frontiers of their own.
+
+    `more` may add rows to the calls that leave a frontier on the way out.
+    """
     parts = []
     if direction in ("outgoing", "both"):
-        parts.append(walk(edges, seeds.select(F.col("node").alias("caller")), ["caller"], ["callee"], depth).withColumn("direction", F.lit("outgoing")))
+        parts.append(walk(edges, seeds.select(F.col("node").alias("caller")), ["caller"], ["callee"], depth, more).withColumn("direction", F.lit("outgoing")))
     if direction in ("incoming", "both"):
         parts.append(walk(edges, seeds.select(F.col("node").alias("callee")), ["callee"], ["caller"], depth).withColumn("direction", F.lit("incoming")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

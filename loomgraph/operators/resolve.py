@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,44 @@ def _candidates(facts: Facts) -> tuple[DataFrame, DataFrame, DataFrame]:
     return symbols, modules, symbols.join(modules, "module_id")
 
 
-def resolve_calls(facts: Facts, built_ins: frozenset[str] = frozenset(), platform: frozenset[str] = frozenset(), included: Facts | None = None) -> DataFrame:
+def call_keys(calls: DataFrame) -> DataFrame:
+    """calls with the normalised name n and the first segment of the qualifier q."""
+    return calls.withColumns({"n": normalize("name"), "q": normalize(first_segment("qualifier"))})
+
+
+def candidate_keys(facts: Facts, exported_only: bool = False) -> DataFrame:
+    """key and candidate: what the facts' symbols and modules add to the tables of candidates that calls are met by.
+
+    A call is resolved by the candidates of its own keys (`call_lookups`), so where the rows of two states of the facts
+    differ, just the calls with one of the differing keys can come out differently.
+    """
+    symbols, modules, owned = _candidates(facts)
+    names = F.explode(F.array_distinct(F.filter(F.array("module", "owner"), lambda x: x.isNotNull())))
+    key = lambda *parts: F.concat_ws("\0", *parts).alias("key")
+    own_id = lambda c: F.col(c).cast("string").alias("candidate")
+    seen = owned.filter("is_export") if exported_only else owned
+    by_name = owned.filter("is_export").select(key(F.lit("name"), "n"), F.concat_ws("\0", "symbol_id", (F.coalesce("owner_kind", F.lit("")) == "common_module").cast("string")).alias("candidate"))
+    by_module = seen.select("symbol_id", "n", names.alias("q")).select(key(F.lit("module"), "q", "n"), own_id("symbol_id"))
+    known = modules.filter("module IS NOT NULL").select(key(F.lit("known"), "module"), F.lit("").alias("candidate"))
+    out = by_name.unionByName(by_module).unionByName(known)
+    if not exported_only:
+        out = out.unionByName(symbols.select(key(F.lit("local"), F.col("module_id").cast("string"), "n"), own_id("symbol_id")))
+    return out.distinct()
+
+
+def call_lookups(calls: DataFrame) -> DataFrame:
+    """call_id and key: all keys under which a call looks for candidates."""
+    local = F.when(F.col("caller_id").isNotNull(), F.concat_ws("\0", F.lit("local"), F.col("module_id").cast("string"), "n"))
+    by_name = F.when(F.col("q").isNull() & F.col("caller_id").isNotNull(), F.concat_ws("\0", F.lit("name"), "n"))
+    by_module, known = (F.when(F.col("q").isNotNull(), F.concat_ws("\0", *k)) for k in ((F.lit("module"), "q", "n"), (F.lit("known"), "q")))
+    return call_keys(calls).select("call_id", F.explode(F.array_compact(F.array(local, by_name, by_module, known))).alias("key"))
+
+
+def resolve_calls(facts: Facts, included: Facts | None = None, built_ins: frozenset[str] = vocab.BUILT_INS, platform: frozenset[str] = vocab.PLATFORM_GLOBALS) -> DataFrame:
     """calls with resolution and resolved_id. built_ins and platform hold normalised names.
 
-    A call that the project itself has no candidate for may be met by exported symbols of the `included` projects.
+    A call that the project itself has no candidate for may be met by exported symbols of the `included` projects. Rows of
+    names that are no calls are left out.
     """
     symbols, modules, owned = _candidates(facts)
     own_names = F.explode(F.array_distinct(F.filter(F.array("module", "owner"), lambda x: x.isNotNull())))
@@ -35,7 +71,7 @@ def resolve_calls(facts: Facts, built_ins: frozenset[str] = frozenset(), platfor
     their_common = sole_candidates(others.filter("owner_kind = 'common_module'"), ["n"], "symbol_id", "included_common")
     their_export = sole_candidates(others, ["n"], "symbol_id", "included_export")
     known = modules.unionByName(more).select(F.col("module").alias("q")).distinct().withColumn("is_module", F.lit(True))
-    calls = facts.calls.withColumns({"n": normalize("name"), "q": normalize(first_segment("qualifier"))})
+    calls = call_keys(facts.calls).filter(~F.col("n").isin(*vocab.NOISE_NAMES))
     rows = calls.join(local, ["module_id", "n"], "left").join(qualified, ["q", "n"], "left").join(common, "n", "left").join(exported, "n", "left").join(known, "q", "left")
     rows = rows.join(theirs, ["q", "n"], "left").join(their_common, "n", "left").join(their_export, "n", "left")
     has_q, in_symbol = F.col("q").isNotNull(), F.col("caller_id").isNotNull()
@@ -75,45 +111,50 @@ def resolve_calls(facts: Facts, built_ins: frozenset[str] = frozenset(), platfor
 def cross_project_candidates(calls: DataFrame, facts: Facts) -> DataFrame:
     """calls without a target for which, of all projects' exported symbols, exactly one has the name: with resolved_id.
 
-    Where the call is qualified, that symbol's module must have the name of the first part of the qualifier.
+    Where the call is qualified, that symbol's module must have the name of the first part of the qualifier. Candidates are
+    counted first, so a name that many symbols have meets each of its calls once.
     """
     _, _, owned = _candidates(facts)
-    exported = owned.filter("is_export").select("n", "module", "symbol_id")
-    open_calls = calls.filter("resolved_id IS NULL AND caller_id IS NOT NULL").withColumn("q", normalize(first_segment("qualifier")))
-    met = open_calls.select("call_id", F.col("normalized_name").alias("n"), "q").distinct().join(exported, "n").filter("q IS NULL OR q = module")
-    sole = sole_candidates(met, ["call_id"], "symbol_id", "x").filter("x_n = 1").select("call_id", "x_id")
-    found = open_calls.drop("q").join(sole, "call_id")
-    return found.withColumns({"resolved_id": F.col("x_id"), "resolution": F.lit("cross_project_candidate")}).drop("x_id")
+    exported = owned.filter("is_export").select("n", F.col("module").alias("q"), "symbol_id")
+    by_name, by_module = sole_candidates(exported, ["n"], "symbol_id", "a"), sole_candidates(exported.filter("q IS NOT NULL"), ["n", "q"], "symbol_id", "b")
+    open_calls = calls.filter("resolved_id IS NULL AND caller_id IS NOT NULL").withColumns({"n": F.col("normalized_name"), "q": normalize(first_segment("qualifier"))})
+    met = open_calls.join(by_name.filter("a_n = 1"), "n", "left").join(by_module.filter("b_n = 1"), ["n", "q"], "left")
+    found = met.withColumn("x", F.when(F.col("q").isNull(), F.col("a_id")).otherwise(F.col("b_id"))).filter("x IS NOT NULL")
+    return found.withColumns({"resolved_id": F.col("x"), "resolution": F.lit("cross_project_candidate")}).select(*calls.columns)
 
 
 def edges(facts: Facts, calls: DataFrame, included: Facts | None = None) -> DataFrame:
-    """source_kind, source_id, target_kind, target_id, target_name, relation, path, line: what depends on what.
+    """project, source_kind, source_id, target_kind, target_id, target_name, relation, path, line: what depends on what.
 
     Names that the project's own objects don't explain may mean objects of the `included` projects.
     """
-    cols = ["source_kind", "source_id", "target_kind", "target_id", "target_name", "relation", "path", "line"]
+    cols = ["project", "source_kind", "source_id", "target_kind", "target_id", "target_name", "relation", "path", "line"]
     named = facts.objects.withColumn("theirs", F.lit(0))
     if included:
         named = named.unionByName(included.objects.withColumn("theirs", F.lit(1)))
     aliases = named.select("theirs", F.explode(F.array(normalize("full_name"), normalize(F.concat_ws(".", "kind", "name")))).alias("alias"), "object_id", "full_name")
     aliases = aliases.groupBy("alias").agg(F.min(F.struct("theirs", "full_name", "object_id")).alias("o")).select("alias", F.col("o.object_id").alias("object_id"))
 
-    def to_objects(rows: DataFrame) -> DataFrame:
+    def to_objects(rows: DataFrame, more: Sequence[str] = ()) -> DataFrame:
         rows = rows.withColumn("raw", normalize("target_name"))
         exact = aliases.select(F.col("alias").alias("raw"), F.col("object_id").alias("exact"))
         near = longest_prefix_join(rows.join(exact, "raw", "left"), "raw", aliases, "alias", "object_id")
-        return near.withColumns({"target_id": F.coalesce("exact", "object_id"), "target_kind": F.lit("metadata")}).select(*cols)
+        return near.withColumns({"target_id": F.coalesce("exact", "object_id"), "target_kind": F.lit("metadata")}).select(*cols, *more)
 
     here = F.when(F.col("caller_id").isNotNull(), "symbol").otherwise("module")
-    called = calls.filter("resolved_id IS NOT NULL").select(here.alias("source_kind"), F.col("caller_id").alias("source_id"), F.lit("symbol").alias("target_kind"), F.col("resolved_id").alias("target_id"), F.col("name").alias("target_name"), F.lit("calls").alias("relation"), "path", "line")
+    called = calls.filter("resolved_id IS NOT NULL").select("project", here.alias("source_kind"), F.col("caller_id").alias("source_id"), F.lit("symbol").alias("target_kind"), F.col("resolved_id").alias("target_id"), F.col("name").alias("target_name"), F.lit("calls").alias("relation"), "path", "line")
     kind = F.when(F.col("relation") == "metadata_type_reference", "metadata").otherwise(here)
-    referred = to_objects(facts.references.select(kind.alias("source_kind"), F.col("caller_id").alias("source_id"), F.col("target").alias("target_name"), "relation", "path", "line"))
-    tables = facts.queries.select("caller_id", "query_id", "path", F.col("line_start").alias("line"), F.explode("tables").alias("t"))
+    referred = to_objects(facts.references.select("project", kind.alias("source_kind"), F.col("caller_id").alias("source_id"), F.col("target").alias("target_name"), "relation", "path", "line"))
+    tables = facts.queries.select("project", "caller_id", "query_id", "path", F.col("line_start").alias("line"), F.explode("tables").alias("t"))
     source = F.when(F.col("caller_id").isNotNull(), "symbol").otherwise("query")
-    asked = to_objects(tables.select(source.alias("source_kind"), F.coalesce("caller_id", "query_id").alias("source_id"), F.col("t.name").alias("target_name"), F.concat(F.lit("query_"), F.col("t.operation")).alias("relation"), "path", "line"))
-    owner = facts.objects.select(F.col("kind").alias("owner_kind"), normalize("name").alias("o"), "object_id", "full_name")
-    owned = first_match_join(facts.modules.withColumn("o", normalize("owner_name")), owner, ["owner_kind", "o"], ["full_name"]).filter("object_id IS NOT NULL")
-    holds = owned.select(F.lit("metadata").alias("source_kind"), F.col("object_id").alias("source_id"), F.lit("module").alias("target_kind"), F.col("module_id").alias("target_id"), F.col("name").alias("target_name"), F.lit("contains_module").alias("relation"), "path", F.lit(None).cast("int").alias("line"))
-    parents = facts.objects.select(F.col("full_name").alias("parent"), F.col("object_id").alias("source_id"))
-    inside = facts.objects.join(parents, "parent").select(F.lit("metadata").alias("source_kind"), "source_id", F.lit("metadata").alias("target_kind"), F.col("object_id").alias("target_id"), F.col("full_name").alias("target_name"), F.lit("contains").alias("relation"), "path", F.lit(None).cast("int").alias("line"))
+    asked = to_objects(tables.select("project", source.alias("source_kind"), F.coalesce("caller_id", "query_id").alias("source_id"), F.col("t.name").alias("target_name"), F.concat(F.lit("query_"), F.col("t.operation")).alias("relation"), "path", "line"))
+    # An object of the project itself owns a module rather than one of an included project.
+    owner = named.select(F.col("kind").alias("owner_kind"), normalize("name").alias("o"), "object_id", "theirs", F.col("full_name").alias("owner_full"))
+    owned = first_match_join(facts.modules.withColumn("o", normalize("owner_name")), owner, ["owner_kind", "o"], ["theirs", "owner_full", "object_id"]).filter("object_id IS NOT NULL")
+    no_line = F.lit(None).cast("int").alias("line")
+    holds = owned.select("project", F.lit("metadata").alias("source_kind"), F.col("object_id").alias("source_id"), F.lit("module").alias("target_kind"), F.col("module_id").alias("target_id"), F.col("name").alias("target_name"), F.lit("contains_module").alias("relation"), "path", no_line)
+    # A child's parent is looked up like any other name: it may stand in another file, or be spelled as kind.name.
+    children = facts.objects.filter("parent IS NOT NULL").select("project", F.lit("metadata").alias("source_kind"), F.lit(None).cast("long").alias("source_id"), F.col("parent").alias("target_name"), F.lit("contains").alias("relation"), "path", no_line, F.col("object_id").alias("child"), F.col("full_name").alias("child_name"))
+    inside = to_objects(children, ["child", "child_name"]).filter("target_id IS NOT NULL AND target_id <> child")
+    inside = inside.withColumns({"source_id": F.col("target_id"), "target_id": F.col("child"), "target_name": F.col("child_name")}).select(*cols)
     return called.unionByName(referred).unionByName(asked).unionByName(holds).unionByName(inside)

@@ -1,72 +1,100 @@
-"""A Spark data source for exported source trees: one row per file, hidden and underscored paths included."""
+"""Exported source trees as tables: names and stat first, contents only of the files that are asked for."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomgraph.functions.vocab import IGNORED_DIRECTORIES, LANGUAGES
+from loomgraph.sources.store import cut
 
-SCHEMA = "relative_path string, size_bytes long, modified_ns long, content binary"
+ENTRY = "relative_path string, is_folder boolean, size_bytes long, modified_ns long"
+#: Folders that one task lists, and files that one task reads, at a time.
+PER_TASK = 200
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-
-class ExportReader(DataSourceReader):
-    """The driver lists names; each partition reads the files of its own list."""
-
-    def __init__(self, root: str, per_partition: int):
-        self.root, self.per_partition = root, per_partition
-
-    def partitions(self) -> list[_Files]:
-        found = []
-        for folder, folders, files in os.walk(self.root):
-            folders[:] = [f for f in folders if f not in IGNORED_DIRECTORIES]
-            found += [os.path.relpath(os.path.join(folder, f), self.root).replace(os.sep, "/") for f in files if not f.startswith(".")]
-        found.sort(key=lambda p: (p.casefold(), p))
-        return [_Files(found[i : i + self.per_partition]) for i in range(0, len(found), self.per_partition)] or [_Files([])]
-
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for path in partition.paths:
-            file = Path(self.root) / path
-            try:
-                stat, content = file.stat(), file.read_bytes()
-            except OSError:
-                continue
-            yield path, stat.st_size, stat.st_mtime_ns, content
-
-
-class ExportSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "export_tree"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> ExportReader:
-        return ExportReader(self.options["path"], int(self.options.get("filesPerPartition", "200")))
+def directory(root: str) -> str:
+    """The full path of a folder that must exist."""
+    full = os.path.realpath(os.path.expanduser(root))
+    if not os.path.isdir(full):
+        raise NotADirectoryError(root)
+    return full
 
 
-def scan(spark: SparkSession, root: str, files_per_partition: int = 200) -> DataFrame:
-    """relative_path, size_bytes, modified_ns, content, language, checksum of each file under root.
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """relative_path, size_bytes, modified_ns, language of each file under root, without opening one.
 
-    root is a folder that the driver and all executors see. Files whose name begins with a dot and everything below an
-    ignored folder are passed over.
+    root is a folder that the driver and all executors see. Tasks list the folders level by level, and each level is a
+    table, so the driver holds no list of names. Files whose name begins with a dot and everything below an ignored folder
+    are passed over; links to folders are not followed.
     """
-    if not os.path.isdir(root):
-        raise NotADirectoryError(root)
-    spark.dataSource.register(ExportSource)
-    rows = spark.read.format("export_tree").option("filesPerPartition", files_per_partition).load(os.path.abspath(root))
-    return rows.withColumns({"language": language(F.col("relative_path")), "checksum": F.sha2("content", 256)})
+    full = directory(root)
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for folder in b["relative_path"]:
+                try:
+                    entries = list(os.scandir(os.path.join(full, folder)))
+                except OSError:
+                    continue
+                for e in entries:
+                    path = f"{folder}/{e.name}" if folder else e.name
+                    try:
+                        if e.is_dir(follow_symlinks=False):
+                            if e.name not in IGNORED_DIRECTORIES:
+                                out.append((path, True, 0, 0))
+                        elif e.is_file() and not e.name.startswith("."):
+                            out.append((path, False, (stat := e.stat()).st_size, stat.st_mtime_ns))
+                    except OSError:
+                        continue
+            yield pd.DataFrame(out, columns=["relative_path", "is_folder", "size_bytes", "modified_ns"])
+
+    folders, levels, n = spark.createDataFrame([("",)], "relative_path string"), [], 1
+    while n:
+        level = cut(_dealt(folders, n).mapInPandas(children, ENTRY))
+        levels.append(level.filter("NOT is_folder"))
+        folders = level.filter("is_folder").select("relative_path")
+        n = folders.count()
+    files = levels[0]
+    for level in levels[1:]:
+        files = files.unionByName(level)
+    return files.select("relative_path", "size_bytes", "modified_ns", language(F.col("relative_path")).alias("language"))
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """n rows in tasks of about PER_TASK."""
+    return rows.repartition(max(1, -(-n // PER_TASK)), "relative_path")
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """files(relative_path, ...) with content and checksum, for those that can be read now."""
+    full = directory(root)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", content binary"
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start in range(0, len(b), PER_TASK):
+                part, found = b.iloc[start : start + PER_TASK], []
+                for path in part["relative_path"]:
+                    try:
+                        with open(os.path.join(full, path), "rb") as file:
+                            found.append(file.read())
+                    except OSError:
+                        found.append(None)
+                yield part.assign(content=found)
+
+    rows = _dealt(files, files.count()).mapInPandas(read, schema)
+    return rows.filter("content IS NOT NULL").withColumn("checksum", F.sha2("content", 256))
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """relative_path, size_bytes, modified_ns, language, content, checksum of each file under root."""
+    return contents(listing(spark, root), root)
 
 
 def language(path: Column) -> Column:

@@ -1,6 +1,7 @@
 """A small export from files to answers."""
 
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -9,6 +10,7 @@ from loomgraph.ask import Answer, AskError, ask, plan, prefers_code, prompt_cont
 from loomgraph.context import build_context, write_context, write_snapshot
 from loomgraph.functions.metadata_parser import parse_metadata
 from loomgraph.functions.module_parser import parse_module
+from loomgraph.operators.extract import merged_profile
 from loomgraph.project import Project
 
 COMMON = '''#Область Запросы
@@ -60,12 +62,13 @@ def test_module_facts():
     assert [(c["qualifier"], c["name"]) for c in facts["calls"]] == [(None, "Свернуть"), (None, "Остатки"), ("Документы.Заказ", "СоздатьДокумент")]
     assert facts["queries"][0]["tables"] == [{"name": "РегистрНакопления.Запасы.Остатки", "operation": "read"}]
     assert [r["target"] for r in facts["references"]] == ["Документ.Заказ"]
-    assert parse_module("") == {"symbols": [], "calls": [], "queries": [], "references": []}
+    assert parse_module("") == {"symbols": [], "calls": [], "queries": [], "references": [], "directives": []}
+    assert facts["directives"] == [{"name": "НаСервере", "line": 2}]
     assert parse_module('&Перед("Имя")\nПроцедура А()\nКонецПроцедуры')["calls"] == []
 
 
 def test_metadata_of_unknown_kinds_stays_apart():
-    names = [parse_metadata(f"<R><{t}><Properties><Name>X</Name></Properties></{t}></R>", "a/X.xml")["objects"][0]["full_name"] for t in ("FirstKind", "SecondKind")]
+    names = [parse_metadata(f"<MetaDataObject><{t}><Properties><Name>X</Name></Properties></{t}></MetaDataObject>", "a/X.xml")["objects"][0]["full_name"] for t in ("FirstKind", "SecondKind")]
     assert names == ["firstkind.X", "secondkind.X"]
 
 
@@ -116,9 +119,25 @@ def test_symbols_for_entities(project):
     assert project.symbols_for_entities(modules).count() == 2
 
 
-def test_snapshot(project, spark, tmp_path):
-    folders = write_snapshot(project, str(tmp_path / "snap"))
-    assert spark.read.json(folders["symbols"]).count() == 3 and spark.read.json(folders["summary"]).first().metadata == 5
+def test_snapshot_is_one_ordered_document(project, spark, tmp_path):
+    def lines(folder):
+        write_snapshot(project, str(folder))
+        return "".join(f.read_text(encoding="utf-8") for f in sorted(folder.glob("part-*"))).splitlines()
+
+    first = lines(tmp_path / "a")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert lines(tmp_path / "b") == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = [json.loads(x) for x in first]
+    of = lambda section: [json.loads(r["row"]) for r in rows if r["section"] == section]
+    assert list(dict.fromkeys(r["section"] for r in rows)) == ["project", "summary", "metadata", "modules", "symbols", "queries", "dependencies"]
+    for section in {r["section"] for r in rows}:
+        assert [r["ordinal"] for r in rows if r["section"] == section] == list(range(1, len(of(section)) + 1))
+    assert [s["name"] for s in of("symbols")] == ["Остатки", "Вложенная", "ОбработкаПроведения"] and of("summary")[0]["metadata"] == 5
+    names = [m["full_name"] for m in of("metadata")]
+    assert names == sorted(names) and len(of("dependencies")) == project.edges.count()
 
 
 def test_planner_and_runs(project, tmp_path):
@@ -162,8 +181,8 @@ def test_knowledge_answers(project):
     assert [(r.table, r.query_kind, r.symbol, r.resolved) for r in project.query_usage("запасы").collect()] == [("РегистрНакопления.Запасы.Остатки", "select", "Остатки", True)]
     assert project.query_usage("нет").count() == 0
     assert {r.relation for r in project.dependencies("апасы").collect()} == {"query_read"}
-    # Only A-Z are lowered, so a capital Cyrillic letter in a name is not met.
-    assert [r.name for r in project.search("статки").collect()] == ["Склады.Остатки"] and project.search("Остатки").count() == 0
+    # Both sides are lowered in any script.
+    assert [r.name for r in project.search("статки").collect()] == [r.name for r in project.search("ОСТАТКИ").collect()] == ["Склады.Остатки"]
     assert project.search("овары").first().kind.startswith("metadata:")
 
 
@@ -187,4 +206,137 @@ def test_included_projects(spark, tmp_path):
     # A call that was resolved without the other project is followed as a candidate where exactly one symbol fits.
     both.calls_table = alone.own_calls.unionByName(base.own_calls)
     hops = both.calls("Вызов", "outgoing").collect()
-    assert sorted(r.resolution for r in hops) == ["cross_project_candidate", "cross_project_candidate", "dynamic_qualified"]
+    assert sorted(r.resolution for r in hops) == ["cross_project_candidate", "cross_project_candidate", "dynamic_qualified", "dynamic_qualified", "unresolved_unqualified"]
+
+
+def write(root, files):
+    for path, text in files.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text, encoding="utf-8")
+    return str(root)
+
+
+def test_two_projects_with_the_same_path(spark, tmp_path):
+    path = "CommonModules/М/Ext/Module.bsl"
+    one = Project(spark, write(tmp_path / "one", {path: 'Процедура Явная() Экспорт\n    З = "ВЫБРАТЬ 1 ИЗ Справочник.Товары";\nКонецПроцедуры\n', "Catalogs/Товары.xml": XML.format("Catalog", "Товары", "")}))
+    two = Project(spark, write(tmp_path / "two", {path: 'Процедура Тайна() Экспорт\n    З = "ВЫБРАТЬ 1 ИЗ Справочник.Нет";\n    М.Явная();\nКонецПроцедуры\n', "CommonModules/Б/Ext/Module.bsl": "Процедура Дело()\n    Тайна();\nКонецПроцедуры\n"}), include=[])
+    both = Project(spark, one.root, include=[two, two])
+    package = build_context(both, "М.Тайна", depth=1)
+    units = {u["symbol"]: u for u in package["source_units"]}
+    assert "Тайна" in units["М.Тайна"]["source"] and "Явная" not in units["М.Тайна"]["source"].split("М.")[0] and units["М.Тайна"]["project"] == "two"
+    assert "Тайна" in units["Б.Дело"]["source"] and package["source_units"][0]["symbol"] == "М.Тайна"
+    assert [(p["name"]) for p in package["projects"]] == ["one", "two"]
+    # Neither project marks the other's tables, nor counts the other's rows; names of the asked project come first.
+    assert [(r.project, r.table, r.resolved) for r in both.query_usage().collect()] == [("one", "Справочник.Товары", True), ("two", "Справочник.Нет", False)]
+    s = both.summary().first()
+    assert (s.files, s.metadata, s.modules, s.symbols, s.calls) == (2, 1, 1, 1, 0) and both.audit().count() == 0
+    assert [(r.project, r.kind) for r in both.find("М").collect()] == [("one", "module"), ("two", "module")]
+    assert plan(both, "x", term="М").matches[0]["entity"]["project"] == "one"
+    with pytest.raises(ValueError, match="one name"):
+        Project(spark, two.root, name="one", include=[one])
+
+
+def test_primary_project_scores_more(spark, tmp_path):
+    text = "Процедура СформироватьПечать() Экспорт\nКонецПроцедуры\n"
+    base = Project(spark, write(tmp_path / "base", {"CommonModules/Печать/Ext/Module.bsl": text}))
+    extension = Project(spark, write(tmp_path / "extension", {"CommonModules/Печать/Ext/Module.bsl": '&Вместо("СформироватьПечать")\n' + text}), include=[base])
+    matches = plan(extension, "Где формирует печать модуль?").matches
+    symbols = [m for m in matches if m["entity"]["kind"] == "symbol"]
+    assert [m["entity"]["project"] for m in symbols] == ["extension", "base"] and symbols[0]["score"] - symbols[1]["score"] == 45 + 70
+
+
+def test_names_of_the_platform(spark, tmp_path):
+    text = """Процедура ВыполнитьПроверку()
+    Таблица = Новый Структура();
+    Оповещение = Новый ОписаниеОповещения("После", ЭтотОбъект);
+    Текст = СтрШаблон("%1", Лев("Тест", 1));
+    ОткрытьФорму("Форма");
+    НачатьТранзакцию();
+    ЗафиксироватьТранзакцию();
+КонецПроцедуры
+"""
+    s = Project(spark, write(tmp_path, {"CommonModules/Проверка/Ext/Module.bsl": text})).summary().first()
+    assert (s.unresolved, s.built_in, s.platform) == (0, 2, 5)
+
+
+def test_noise_is_left_out_of_resolution(spark, project):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators.extract import Facts
+    from loomgraph.operators.resolve import resolve_calls
+
+    noise = project.own_facts.calls.limit(1).withColumns({"name": F.lit("И"), "qualifier": F.lit(None).cast("string")})
+    facts = Facts(**{**vars(project.own_facts), "calls": project.own_facts.calls.unionByName(noise)})
+    assert resolve_calls(facts).count() == project.own_calls.count()
+
+
+def test_references_to_types(spark):
+    facts = parse_module("Процедура А()\n    Т = Тип(СправочникСсылка.Товары); Т = СправочникСсылка.Товары;\n    Справочники.Товары.Найти(1);\nКонецПроцедуры\n&НаКлиенте\nПерем Х;")
+    assert [(r["target"], r["relation"], r["line"], r["caller"]) for r in facts["references"]] == [("Справочник.Товары", "type_reference", 2, 0), ("Справочник.Товары", "manager_access", 3, 0)]
+    assert facts["directives"] == [{"name": "НаКлиенте", "line": 5}]
+
+
+def test_properties_and_profile(spark, tmp_path):
+    text = """<MetaDataObject xmlns:cfg="urn:test"><Catalog uuid="cat-1"><Properties>
+    <Name>Номенклатура</Name><CompatibilityMode>Version8_3_17</CompatibilityMode><Comment>  a <b>b</b>\n c </Comment><Other>x</Other><Global/>
+    <Synonym><item><content>Номенклатура</content></item></Synonym></Properties>
+    <ChildObjects><Attribute uuid="attr-1"><Properties><Name>ОсновнойСклад</Name>
+    <Type><Type>cfg:CatalogRef.Склады</Type></Type></Properties></Attribute></ChildObjects></Catalog></MetaDataObject>"""
+    facts = parse_metadata(text, "Catalogs/Номенклатура.xml")
+    assert [(o["kind"], o["name"], o["uuid"]) for o in facts["objects"]] == [("catalog", "Номенклатура", "cat-1"), ("attribute", "ОсновнойСклад", "attr-1")]
+    assert [r["target"] for r in facts["references"]] == ["Справочник.Склады"] * 2 and facts["profile"] == {"CompatibilityMode": "Version8_3_17"}
+    assert facts["objects"][0]["properties"] == {"Comment": "a b c", "CompatibilityMode": "Version8_3_17", "Name": "Номенклатура"}
+    long = parse_metadata(f"<Constant><Properties><Name>A</Name><Comment>{'x' * 5000}</Comment></Properties></Constant>", "Constants/A.xml")
+    assert len(long["objects"][0]["properties"]["Comment"]) == 4096
+    assert parse_metadata("<MetaDataObject/>", "My-Own Kind/X.xml")["objects"][0]["full_name"] == "my_own_kind.X"
+    other = text.replace("Номенклатура", "Я").replace("_17", "_20").replace("<Other>x</Other>", "<DefaultRunMode>M</DefaultRunMode>")
+    p = Project(spark, write(tmp_path, {"Catalogs/Номенклатура.xml": text, "Catalogs/Я.xml": other}))
+    assert [r.profile for r in merged_profile(p.facts).collect()] == [{"CompatibilityMode": "Version8_3_20", "DefaultRunMode": "M"}]
+    assert p.facts.objects.filter("kind = 'attribute'").first().properties == {"Name": "ОсновнойСклад"}
+
+
+def test_children_find_their_parent_by_any_spelling(spark):
+    from loomgraph.operators.extract import Facts, facts_of
+    from loomgraph.operators.extract import FACTS as schema
+    from loomgraph.operators.resolve import edges, resolve_calls
+
+    def file(path, *objects):
+        return {"path": path, "symbols": [], "calls": [], "queries": [], "refs": [], "directives": [], "profile": {}, "objects": [{"kind": k, "name": n, "full_name": f, "parent": p} for k, n, f, p in objects]}
+
+    raw = spark.createDataFrame([
+        file("a.xml", ("document", "Заказ", "Документ.Заказ", None)), file("b.xml", ("attribute", "Цена", "Документ.Заказ.Attribute.Цена", "Документ.Заказ")),
+        file("c.xml", ("form", "Ф", "x.Form.Ф", "document.Заказ")), file("d.xml", ("form", "Г", "x.Form.Г", "Документ.ЗаказПокупателя")), file("e.xml", ("form", "Нет", "x.Form.Нет", "Прочее")),
+    ], schema)
+    facts: Facts = facts_of(raw, "p")
+    met = edges(facts, resolve_calls(facts)).filter("relation = 'contains'")
+    names = {r.object_id: r.full_name for r in facts.objects.collect()}
+    assert sorted((names[r.source_id], r.target_name) for r in met.collect()) == [("Документ.Заказ", "x.Form.Г"), ("Документ.Заказ", "x.Form.Ф"), ("Документ.Заказ", "Документ.Заказ.Attribute.Цена")]
+
+
+def test_files_claim_names_one_after_another(spark):
+    from loomgraph.operators.extract import settle
+
+    def run(new, old=(), taken=()):
+        frame = lambda rows, schema: spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], schema)
+        got = settle(frame(new, "path string, full_name string"), frame(old, "path string, full_name string"), frame(taken, "full_name string"))
+        return sorted(r.path for r in got.collect())
+
+    def plain(new, old, taken):
+        holds, bad = {}, []
+        for p, n in old:
+            holds.setdefault(p, set()).add(n)
+        for p in sorted({p for p, _ in new}):
+            names = {n for q, n in new if q == p}
+            others = set(taken).union(*(v for q, v in holds.items() if q != p))
+            if names & others:
+                bad.append(p)
+            else:
+                holds[p] = names
+        return bad
+
+    assert run([("a", "X"), ("b", "X"), ("b", "Y"), ("c", "Y")]) == ["b"]  # a rejected file leaves its other names to later ones
+    rng = random.Random(6)
+    for _ in range(3):
+        pick = lambda n, files="abcdefg": sorted({(rng.choice(files), rng.choice("UVWXYZ")) for _ in range(n)})
+        new, old, taken = pick(rng.randrange(1, 9)), pick(rng.randrange(4), "abcdefgh"), rng.sample("UVW", rng.randrange(2))
+        assert run(new, old, taken) == plain(new, old, taken)

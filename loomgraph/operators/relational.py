@@ -110,3 +110,20 @@ def staged_union(stages: list[DataFrame], order: list[str], limit: int) -> DataF
 def count_where(df: DataFrame, **tests: Column) -> DataFrame:
     """Many filtered counts in one pass."""
     return df.agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
+
+
+def nested_regions(lines: DataFrame, keys: list[str], order: str, opens: Column, closes: Column, region: str | Column) -> DataFrame:
+    """lines with depth and region: how many regions are open at a line, and `region` of the line that opened the innermost.
+
+    A line that opens is already inside, one that closes already outside; closers without an opener are ignored. The depth
+    is a running sum, less its running minimum where that is negative, so no stack and no loop is needed: the innermost
+    open region at depth k was opened by the last line that reached depth k by opening.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(opens, 1).when(closes, -1).otherwise(0)
+    region = F.col(region) if isinstance(region, str) else region
+    rows = lines.withColumns({"__sum": F.sum(step).over(w), "__opened": F.when(opens, F.struct(region.alias("r")))})
+    rows = rows.withColumn("depth", (F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(w))).cast("long"))
+    level = Window.partitionBy(*keys, "depth").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    innermost = F.when(F.col("depth") > 0, F.last("__opened", ignorenulls=True).over(level)["r"])
+    return rows.withColumn("region", innermost).drop("__sum", "__opened")

@@ -121,17 +121,17 @@ def q_code_intent(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", (intent | n.contains("tionth") | n.contains("queaux")).alias("prefers_code"))
 
 
-@query("""WITH l AS (
-  SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 1 ELSE -1 END AS step, CASE WHEN role = 'user' THEN turn END AS opened FROM conversations
-), s AS (
-  SELECT conv_id, turn, sum(step) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS depth, last_value(opened IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS region FROM l
-) SELECT conv_id, turn, depth, region FROM s""")
+@query("""WITH s AS (
+  SELECT conv_id, turn, role = 'user' AS o, sum(CASE WHEN role = 'user' THEN 1 WHEN role = 'assistant' AND length(text) % 2 = 0 THEN -1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations
+), d AS (
+  SELECT conv_id, turn, o, s - least(0, min(s) OVER (PARTITION BY conv_id ORDER BY turn)) AS depth FROM s
+) SELECT conv_id, turn, depth::BIGINT AS depth, (
+  SELECT max(a.turn) FROM d a WHERE a.conv_id = b.conv_id AND a.o AND a.turn <= b.turn AND NOT EXISTS (SELECT 1 FROM d c WHERE c.conv_id = a.conv_id AND c.turn BETWEEN a.turn AND b.turn AND c.depth < a.depth)
+) AS region FROM d b""")
 def q_region_stack(spark, d):
-    rows = table(spark, d, "conversations").withColumn("opened", F.when(F.col("role") == "user", F.col("turn")))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    depth = F.sum(F.when(F.col("role") == "user", 1).otherwise(-1)).over(w)
-    region = F.last("opened", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("conv_id", "turn", depth.alias("depth"), region.alias("region"))
+    closes = (F.col("role") == "assistant") & (F.length("text") % 2 == 0)
+    rows = R.nested_regions(table(spark, d, "conversations"), ["conv_id"], "turn", F.col("role") == "user", closes, "turn")
+    return rows.select("conv_id", "turn", "depth", "region")
 
 
 @query("""WITH o AS (

@@ -28,16 +28,18 @@ def directory(root: str) -> str:
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """relative_path, size_bytes, modified_ns, language of each file under root, without opening one.
 
-    root is a folder that the driver and all executors see. Tasks list the folders level by level, and each level is a
-    table, so the driver holds no list of names. Files whose name begins with a dot and everything below an ignored folder
-    are passed over; links to folders are not followed.
+    root is a folder that the driver and all executors see. Each task lists its folders and what lies below them until it
+    has listed PER_TASK; what it has found but not listed is a table for the next round, so the driver holds no list of
+    names and a small tree takes one round. Files whose name begins with a dot and everything below an ignored folder are
+    passed over; links to folders are not followed.
     """
     full = directory(root)
 
-    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for folder in b["relative_path"]:
+            out, left, listed = [], list(b["relative_path"]), 0
+            while left and listed < PER_TASK:
+                folder, listed = left.pop(), listed + 1
                 try:
                     entries = list(os.scandir(os.path.join(full, folder)))
                 except OSError:
@@ -46,17 +48,17 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
                     path = f"{folder}/{e.name}" if folder else e.name
                     try:
                         if e.is_dir(follow_symlinks=False):
-                            if e.name not in IGNORED_DIRECTORIES:
-                                out.append((path, True, 0, 0))
+                            left += [path] if e.name not in IGNORED_DIRECTORIES else []
                         elif e.is_file() and not e.name.startswith("."):
                             out.append((path, False, (stat := e.stat()).st_size, stat.st_mtime_ns))
                     except OSError:
                         continue
+            out += [(folder, True, 0, 0) for folder in left]
             yield pd.DataFrame(out, columns=["relative_path", "is_folder", "size_bytes", "modified_ns"])
 
     folders, levels, n = spark.createDataFrame([("",)], "relative_path string"), [], 1
     while n:
-        level = cut(_dealt(folders, n).mapInPandas(children, ENTRY))
+        level = cut(_dealt(folders, n).mapInPandas(below, ENTRY))
         levels.append(level.filter("NOT is_folder"))
         folders = level.filter("is_folder").select("relative_path")
         n = folders.count()

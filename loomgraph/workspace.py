@@ -247,9 +247,10 @@ class Workspace:
         counts = opened.agg(F.count_if(F.col("known").isNull()).alias("added"), F.count_if(F.col("known") & ~kept).alias("updated"), F.count_if(kept).alias("same"), F.count(F.lit(1)).alias("n")).first()
         n_same, n_gone = both.agg(F.count_if(same), F.count_if(F.col("on_disk").isNull())).first()
         rows = opened.select("relative_path", "size_bytes", "modified_ns", "language", "checksum", "analyzed_checksum", "analysis_error")
-        self._replace(entry, "files", version, rows, rows.select("relative_path").union(gone), "relative_path")
-        none = self.spark.createDataFrame([], FACTS)
-        self._replace(entry, "facts", version, none, gone.withColumnRenamed("relative_path", "path"), "path")
+        if counts.n or n_gone:
+            self._replace(entry, "files", version, rows, rows.select("relative_path").union(gone), "relative_path")
+        if n_gone:
+            self._replace(entry, "facts", version, self.spark.createDataFrame([], FACTS), gone.withColumnRenamed("relative_path", "path"), "path")
         return ScanResult(counts.added, counts.updated, n_same + counts.same, n_gone, counts.n)
 
     # --- analysis
@@ -321,6 +322,9 @@ class Workspace:
     def _resolve(self, name: str, projects: dict, version: int, include: Sequence[str], force: bool) -> int:
         entry = self._entry(projects, name)
         others = [(n, self._entry(projects, n)) for n in dict.fromkeys(include) if n != name]
+        state = {e["id"]: dict(e["tables"]["facts"]) for _, e in [(name, entry), *others]}
+        if not force and entry["resolved"] == state:
+            return 0  # no version of a bucket differs
         facts = self._facts(entry, name)
         theirs = together([self._facts(e, n) for n, e in others]) if others else None
         then = {} if force else entry["resolved"] or {}
@@ -348,7 +352,7 @@ class Workspace:
         resolved = resolve_calls(Facts(**{**vars(some(facts)), "calls": again}), some(theirs)).select(*StructType.fromDDL(CALLS).names)
         stale = stored.select("path", "call_id") if force else stored.join(changed, "path", "left_semi").select("path", "call_id").union(again.select("path", "call_id"))
         self._replace(entry, "calls", version, resolved, stale, "call_id")
-        entry["resolved"] = {e["id"]: dict(e["tables"]["facts"]) for _, e in [(name, entry), *others]}
+        entry["resolved"] = state
         entry["include"] = [n for n, _ in others]
         built = edges(facts, self._table(entry, "calls"), theirs).select(*StructType.fromDDL(EDGES).names)
         self._replace(entry, "edges", version, built, self._table(entry, "edges").select("path"), "path")

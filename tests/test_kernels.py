@@ -120,3 +120,18 @@ def test_joins_over_all_rows_against_brute_force(spark, tmp_path):
         aliases.setdefault(r[: 22 + i % 9], i)
     want = {i: max(((len(a), a, t) for a, t in aliases.items() if r.startswith(a)), default=(0, None, None))[1:] for i, r in raw.items()}
     assert {r.page_id: (r.alias, r.target) for r in run("q_longest_prefix")} == want
+
+
+def test_nested_regions_against_the_parsers_stack(spark):
+    from pyspark.sql import functions as F
+
+    from loomgraph.functions.module_parser import _regions
+
+    rng = random.Random(14)
+    files = {f: [rng.choice(["#Область A%d" % rng.randrange(9), "#КонецОбласти", "#КонецОбласти", "x", "#Region B"]) for _ in range(rng.randrange(1, 40))] for f in range(25)}
+    rows = spark.createDataFrame([(f, n, line) for f, lines in files.items() for n, line in enumerate(lines)], "file long, line long, text string")
+    name = F.regexp_extract("text", "^#(?:Область|Region) (.+)$", 1)
+    out = R.nested_regions(rows, ["file"], "line", name != "", F.col("text") == "#КонецОбласти", name).collect()
+    got = {(r.file, r.line): r.region for r in out}
+    assert got == {(f, n): region for f, lines in files.items() for n, region in enumerate(_regions(lines))}
+    assert max(r.depth for r in out) > 2 and R.nested_regions(rows.limit(0), ["file"], "line", name != "", name == "", name).count() == 0

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACES, WORDS, boxed, id_text, kept_columns, materialize, text_or_empty, unboxed
+from loomgraph.llm.common import SPACES, WORDS, boxed, id_text, kept_columns, materialize, text_or_empty
 
 #: A run of lines counts as repeated if it has at least so many words.
 MIN_WORDS = 10
@@ -103,7 +103,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     null too; others keep their remaining lines, blank ones included, joined by line feeds. Rows that repeat id and text
     count as one document and get the same result.
     """
-    rows = boxed(docs, ADDED, d=document_key(), t=F.col("text"))
+    rows = boxed(docs, [*ADDED, "text"], d=document_key(), t=F.col("text"))  # the text travels once
     gone = materialize(later_copies(docs, min_words))
     # Only texts that lose lines meet the table of deletions; the others keep theirs and need no second look.
     joined = rows.join(gone, "d", "left")
@@ -117,5 +117,5 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "lines_deleted": F.when(changed, F.size("deleted")).otherwise(0).cast("long"),
         "text": F.when(changed, F.array_join(F.transform(kept, lambda p: F.get("lines", p)), "\n")).otherwise(F.col("t")),
     })
-    columns = [F.col("text") if c.lower() == "text" else x for c, x in zip(kept_columns(docs, ADDED), unboxed(docs, ADDED))]
+    columns = [F.col("text").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in kept_columns(docs, ADDED)]
     return out.select(*columns, *ADDED)

@@ -88,14 +88,16 @@ def _plan(docs: DataFrame, added: list[str], schedules: Sequence, max_repeats: i
     return rows.select("row", "doc_id", *ADDED, "start", "w0", "w1")
 
 
-def plan_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
+def plan_mix(docs: DataFrame, schedules: Sequence = SCHEDULES, max_repeats: int = MAX_REPEATS, keep: tuple[str, ...] | None = None) -> DataFrame:
     """docs with size, source_size, target (its source's), taken (words), repeats, first_position (null: not taken).
 
     Documents of a source are taken in the order of a hash of doc_id: as many whole passes as fit its target, then those
     whose middle lies before what remains. Null texts have size 0 and are never taken; a null source is a source; rows
-    that repeat an id are documents of their own; columns named like the added ones are replaced.
+    that repeat an id are documents of their own; columns named like the added ones are replaced. `keep` names the columns
+    of docs that the result has beside these (all, if it is None): what it leaves out, as the texts, is never shuffled.
     """
-    return _plan(docs, ADDED, schedules, max_repeats).select(*unboxed(docs, ADDED), *ADDED)
+    left = [*ADDED, *[c for c in docs.columns if keep is not None and c not in keep]]
+    return _plan(docs, left, schedules, max_repeats).select(*unboxed(docs, left), *ADDED)
 
 
 def mix(docs: DataFrame, schedules: Sequence = SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:

@@ -36,4 +36,4 @@ FROM f
 
 
 def query(spark, sf_dir):
-    return plan_mix(table(spark, sf_dir, "documents")).orderBy("first_position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "repeats", "first_position")
+    return plan_mix(table(spark, sf_dir, "documents"), keep=("doc_id",)).orderBy("first_position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "repeats", "first_position")

@@ -192,3 +192,14 @@ def test_whitening_of_odd_rows(spark):
     assert [(r.n, r.deviation, r.whitened) for r in lone] == [(1, 0, None)] * 2
     far = whitening.whiten(spark.createDataFrame([(1, [1e9]), (2, [-1e9])], "vec_id long, embedding array<double>")).collect()
     assert {(r.deviation, abs(round(r.whitened, 9))) for r in far} == {(None, 1.0)}
+
+
+def test_the_mix_shuffles_no_text_and_line_dedup_each_once(spark):
+    from loomgraph.llm import line_dedup, q_mixing
+
+    plan = q_mixing.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "row#" in line and "struct" in line]
+    assert joins and not any("text" in line.split("AS row#")[0] for line in joins)
+    docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, note string")
+    plan = line_dedup.line_dedup(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS row#" in plan and not any("text" in line.split("AS row#")[0].split("struct(")[-1] for line in plan.splitlines() if "AS row#" in line)

@@ -135,7 +135,7 @@ def test_snapshot_is_one_ordered_document(project, spark, tmp_path):
     assert list(dict.fromkeys(r["section"] for r in rows)) == ["project", "summary", "metadata", "modules", "symbols", "queries", "dependencies"]
     for section in {r["section"] for r in rows}:
         assert [r["ordinal"] for r in rows if r["section"] == section] == list(range(1, len(of(section)) + 1))
-    assert [s["name"] for s in of("symbols")] == ["Остатки", "Вложенная", "ОбработкаПроведения"] and of("summary")[0]["metadata"] == 5
+    assert [s["name"] for s in of("symbols")] == ["ОбработкаПроведения", "Остатки", "Вложенная"] and of("summary")[0]["metadata"] == 5
     names = [m["full_name"] for m in of("metadata")]
     assert names == sorted(names) and len(of("dependencies")) == project.edges.count()
 

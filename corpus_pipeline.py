@@ -30,7 +30,10 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id; documents without words stay."""
+    """Keeps of each group of near duplicates the document with the smallest id; documents without words stay.
+
+    Rows that repeat that smallest id all stay: a row is dropped only for a smaller id.
+    """
     gone = ngram_join.near_duplicates(docs).filter("component_id < doc_id").select("doc_id").distinct()
     return docs.join(materialize(gone), "doc_id", "left_anti").select(*COLUMNS)
 

@@ -4,9 +4,10 @@ Every text node belongs to the path of block elements (and links) from the root
 links and punctuation marks per node are aggregated, smoothed over neighbouring nodes in page order and fused into one
 score. Tags, roles and class or id words that name boilerplate are no verdicts but weights on a path, shared by all that
 stands below them, and scores are held against the best of the page: a mark around everything changes nothing. The
-smallest element with nearly all text of the paths above the threshold leads to the content root. Below it a path's
-score is fused with the root's, so that short blocks of an article stay and marked ones go, and held against a second
-threshold.
+smallest element with nearly all text of the paths above the threshold leads to the content root; a page's only article
+or main element is the root if it holds a good part of that text. Below the root a path's score is fused with the root's,
+so that short blocks of an article stay and marked ones go, and held against a second threshold; paths whose text is mostly
+links go as well. An id marks no element of running text and no section named like its heading: those are link targets.
 """
 
 from __future__ import annotations
@@ -60,15 +61,24 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("html body main article".split())
 #: Elements that are parts of a text, and so are div elements without class and id.
 PARTS = HEADINGS | frozenset("p li td th dd dt tr ul ol dl dir table thead tbody tfoot caption pre blockquote section figure figcaption details summary address center hgroup".split())
+#: Elements of running text, whose ids are link targets.
+TEXT = HEADINGS | frozenset("p li td th dd dt tr caption pre blockquote".split())
+#: Names of reader comments, which are marks even where the section has a heading of that name.
+READERS = frozenset("comment comments disqus reply replies respond".split())
+#: A block of one of these texts alone, in no element of running text, is the label of an advert.
+AD_LABELS = frozenset("advertisement advertisements advertising ad ads sponsored anzeige werbung publicité publicidad anuncio".split())
 #: Smoothing weights of a node's neighbours; the accepted share of the best path's score; the root's share of accepted text.
 SMOOTH = (0.25, 0.5, 0.25)
 ACCEPT = 0.1
 ROOT_SHARE = 0.9
+#: The share of accepted text from which a page's only article or main element is the root.
+ONLY_SHARE = 0.2
 #: Below the root: the share of a path's own score in the fused one, and the threshold for that.
 OWN, KEEP = 1 / 8, 0.25
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+HEADED = re.compile(r"\s{0,200}<h[1-6][^>]{0,400}>([^<]{1,400})<", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 
 
@@ -102,13 +112,21 @@ def names_boilerplate(name: str) -> bool:
     return bool(telling) and telling[-1] in MARKS and not DENIED & set(telling[:-1])
 
 
-def marks_of(attributes: str, tag: str) -> tuple[bool, bool, bool]:
-    """Whether an element is marked as boilerplate, is hidden, and has a class or id."""
+def is_target(name: str, tag: str, heading: str) -> bool:
+    """Whether an id is that of a part of a text: of running text, or of a section whose heading has the same words."""
+    words = lambda text: re.findall(r"[^\W_]+", text.lower())
+    return tag in TEXT or tag == "section" and name not in READERS and bool(words(name)) and words(name) == words(heading)
+
+
+def marks_of(attributes: str, tag: str, heading: str = "") -> tuple[bool, bool, bool]:
+    """Whether an element is marked as boilerplate, is hidden, and has a class or id. heading: the one that it begins with."""
     marked = hidden = named = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if name in ("class", "id"):
             named = True
+            if name == "id" and is_target(value, tag, heading) or tag in HEADINGS:
+                continue
             # A name on an element that holds content marks it only if the mark is all there is to it.
             marked |= any(v in MARKS if tag in CONTENT else names_boilerplate(v) for v in value.split())
         elif name == "role":
@@ -152,7 +170,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
         here = here.parent
 
     def start(tag: str, attributes: str) -> Element:
-        marked, hidden, named = marks_of(attributes, tag)
+        heading = HEADED.match(page, at) if tag == "section" else None
+        marked, hidden, named = marks_of(attributes, tag, html.unescape(heading[1]) if heading else "")
         boilerplate = tag in BOILERPLATE and not (tag == "header" and (opened["article"] or opened["main"]))
         closable = here.closable
         if tag in SCOPES:
@@ -237,6 +256,12 @@ def content_root(blocks: list[Block], elements: list[Element], accepted: set[int
         e = e.parent
     if e is not None:
         return e
+    held = [False] * len(elements)  # whether an article or main element is around it
+    for e in elements[1:]:
+        held[e.number] = held[e.parent.number] or e.parent.tag in ("article", "main")
+    outer = [e for e in elements if e.tag in ("article", "main") and not held[e.number] and inside[e.number]]
+    if len(outer) == 1 and inside[outer[0].number] >= ONLY_SHARE * total:
+        return outer[0]
     if root.tag in PARTS or root.tag == "div" and not root.named:
         while root.parent is not None and (inside[root.number] < total or root.tag in PARTS):
             root = root.parent
@@ -256,15 +281,20 @@ def main_text(page: str | None) -> str:
     under = [False] * len(elements)
     for e in elements:
         under[e.number] = e is root or e.parent is not None and under[e.parent.number]
+    chars, linked = Counter(), Counter()
+    for b in blocks:
+        chars[b.element.path] += len(b.text)
+        linked[b.element.path] += b.linked
 
     def kept(b: Block) -> bool:
-        if not under[b.element.number]:
+        if not under[b.element.number] or b.element.tag not in TEXT and b.text.lower().strip(".:") in AD_LABELS:
             return False
         weight = b.element.weight / root.weight
         if whole:  # nothing holds the text together: a path stands for itself
             return b.path in accepted or b.element.tag in HEADINGS and weight == 1
         fused = (scores[b.path] / best) ** OWN * weight ** (1 - OWN) if best else 0.0
-        return fused >= KEEP and (b.path in accepted or b.element.tag in HEADINGS or b.linked < 0.5 * len(b.text))
+        path = b.element.path
+        return fused >= KEEP and (b.path in accepted or b.element.tag in HEADINGS or linked[path] < 0.5 * chars[path])
 
     return "\n".join(b.text for b in blocks if kept(b))
 

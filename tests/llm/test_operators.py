@@ -300,3 +300,36 @@ def test_pipeline_keeps_columns_and_clean_documents(spark, tmp_path):
         kept = {r.doc_id for r in now.select("doc_id").collect()}
         assert kept == set(range(40)), name
     assert p.run(spark, str(tmp_path)).select("doc_id").distinct().count() == 40
+
+
+LONG = "A sentence of the article, which is long enough, goes on here. " * 3
+
+
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        ("<h2 id='navigation'>Navigation</h2><p>{}</p>", ["Navigation", LONG]),
+        ("<h2 class='related' id='related'>Related</h2><p id='comment'>{}</p>", ["Related", LONG]),
+        ("<section id='advertising'><h2>Advertising</h2><p>{}</p></section>", ["Advertising", LONG]),
+        ("<div id='cookie-notice'><h3 class=x>Cookie &amp; notice</h3><p>{}</p></div>", []),
+        ("<section id='comments'><h2>Comments</h2><p>{}</p></section>", []),
+        ("<div class='social'><p>{}</p></div>", []),
+        ("<div>Advertisement</div><p>{}</p>", [LONG]),
+        ("<p>Advertisement</p><p>{}</p>", ["Advertisement", LONG]),
+        ("<p><a href=x>Only a link</a></p><p>{}</p>", ["Only a link", LONG]),
+        ("<ul><li><a href=x>Home</a></li><li><a href=y>Next</a></li></ul><p>{}</p>", [LONG]),
+    ],
+)
+def test_html_marks_inside_an_article(inside, want):
+    page = f"<html><body><nav><a href=x>Home</a></nav><article><h1>Head</h1><p>{LONG}</p><p>{LONG}</p>{inside.format(LONG)}</article><footer>x</footer></body></html>"
+    assert html_extract.main_text(page).split("\n") == ["Head", LONG.strip(), LONG.strip(), *[w.strip() for w in want]]
+
+
+def test_html_the_only_article_is_the_root():
+    page = f"<html><body><article><h1>Head</h1><p>{LONG}</p></article><div class='discussion'><p>{LONG}</p><p>{LONG}</p></div><div>menu</div></body></html>"
+    assert html_extract.main_text(page) == f"Head\n{LONG.strip()}"
+    # Of several articles none is, and a teaser beside the text is not.
+    page = f"<html><body><article><p>{LONG}</p></article><article><p>{LONG}</p></article></body></html>"
+    assert html_extract.main_text(page) == f"{LONG.strip()}\n{LONG.strip()}"
+    page = f"<html><body><div><p>{LONG * 4}</p><p>{LONG * 4}</p></div><article><p>Short, but said.</p></article></body></html>"
+    assert LONG.strip() in html_extract.main_text(page)

@@ -281,10 +281,12 @@ def main_text(page: str | None) -> str:
     under = [False] * len(elements)
     for e in elements:
         under[e.number] = e is root or e.parent is not None and under[e.parent.number]
-    chars, linked = Counter(), Counter()
+    chars, linked = Counter(), Counter()  # by path of elements, below the root
     for b in blocks:
-        chars[b.element.path] += len(b.text)
-        linked[b.element.path] += b.linked
+        if under[b.element.number]:
+            chars[b.element.path] += len(b.text)
+            linked[b.element.path] += b.linked
+    of_links = 2 * linked.total() >= chars.total()  # the content itself is a list of links
 
     def kept(b: Block) -> bool:
         if not under[b.element.number] or b.element.tag not in TEXT and b.text.lower().strip(".:") in AD_LABELS:
@@ -294,7 +296,7 @@ def main_text(page: str | None) -> str:
             return b.path in accepted or b.element.tag in HEADINGS and weight == 1
         fused = (scores[b.path] / best) ** OWN * weight ** (1 - OWN) if best else 0.0
         path = b.element.path
-        return fused >= KEEP and (b.path in accepted or b.element.tag in HEADINGS or linked[path] < 0.5 * chars[path])
+        return fused >= KEEP and (of_links or b.element.tag in HEADINGS or linked[path] < 0.5 * chars[path])
 
     return "\n".join(b.text for b in blocks if kept(b))
 

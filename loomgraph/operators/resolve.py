@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import vocab
 from loomgraph.functions.textfn import first_segment, normalize
 from loomgraph.operators.extract import Facts
 from loomgraph.operators.relational import first_match_join, longest_prefix_join, sole_candidates
+from loomgraph.sources.store import cut
 
 
 def _candidates(facts: Facts) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -20,6 +21,13 @@ def _candidates(facts: Facts) -> tuple[DataFrame, DataFrame, DataFrame]:
     return symbols, modules, symbols.join(modules, "module_id")
 
 
+def _counted(sides: dict[str, Column]) -> list[Column]:
+    """Per side the number of symbols (null where there is none) and the smallest of them."""
+    its = {name: F.when(test, F.col("symbol_id")) for name, test in sides.items()}
+    number = lambda x: F.nullif(F.count(x), F.lit(0).cast("long"))
+    return [c for name, x in its.items() for c in (number(x).alias(f"{name}_n"), F.min(x).alias(f"{name}_id"))]
+
+
 def call_keys(calls: DataFrame) -> DataFrame:
     """calls with the normalised name n and the first segment of the qualifier q."""
     return calls.withColumns({"n": normalize("name"), "q": normalize(first_segment("qualifier"))})
@@ -64,16 +72,20 @@ def resolve_calls(facts: Facts, included: Facts | None = None, built_ins: frozen
     _, more, others = _candidates(included) if included else (None, modules.limit(0), owned.limit(0))
     others = others.filter("is_export")
     local = sole_candidates(symbols, ["module_id", "n"], "symbol_id", "local")
-    qualified = sole_candidates(owned.select("symbol_id", "n", own_names.alias("q")).distinct(), ["q", "n"], "symbol_id", "qualified")
-    common = sole_candidates(owned.filter("is_export AND owner_kind = 'common_module'"), ["n"], "symbol_id", "common")
-    exported = sole_candidates(owned.filter("is_export"), ["n"], "symbol_id", "export")
-    theirs = sole_candidates(others.select("symbol_id", "n", own_names.alias("q")).distinct(), ["q", "n"], "symbol_id", "included")
-    their_common = sole_candidates(others.filter("owner_kind = 'common_module'"), ["n"], "symbol_id", "included_common")
-    their_export = sole_candidates(others, ["n"], "symbol_id", "included_export")
-    known = modules.unionByName(more).select(F.col("module").alias("q")).distinct().withColumn("is_module", F.lit(True))
+    # One table for each kind of key, own and included candidates side by side. A name, or a module, may have a third of all
+    # calls; the tables are stored because Spark splits such a key only in a join of plain exchanges, not of aggregates.
+    is_common = F.col("owner_kind") == "common_module"
+    both = owned.filter("is_export").withColumn("theirs", F.lit(False)).unionByName(others.withColumn("theirs", F.lit(True)))
+    sides = {"common": ~F.col("theirs") & is_common, "export": ~F.col("theirs"), "included_common": F.col("theirs") & is_common, "included_export": F.col("theirs")}
+    by_name = cut(both.groupBy("n").agg(*_counted(sides)))
+    named = owned.withColumn("theirs", F.lit(False)).unionByName(others.withColumn("theirs", F.lit(True))).select("symbol_id", "n", "theirs", own_names.alias("q"))
+    by_module = cut(named.groupBy("q", "n").agg(*_counted({"qualified": ~F.col("theirs"), "included": F.col("theirs")})))
+    known = cut(modules.unionByName(more).select(F.col("module").alias("q")).filter("q IS NOT NULL").distinct().withColumn("is_module", F.lit(True)))
     calls = call_keys(facts.calls).filter(~F.col("n").isin(*vocab.NOISE_NAMES))
-    rows = calls.join(local, ["module_id", "n"], "left").join(qualified, ["q", "n"], "left").join(common, "n", "left").join(exported, "n", "left").join(known, "q", "left")
-    rows = rows.join(theirs, ["q", "n"], "left").join(their_common, "n", "left").join(their_export, "n", "left")
+    # Calls without a qualifier would all meet in one task; a key of their own that no module has spreads them.
+    spread = F.coalesce("q", F.concat(F.lit("\0"), F.col("call_id").cast("string")))
+    rows = calls.withColumn("__q", spread).join(local, ["module_id", "n"], "left").join(by_name, "n", "left")
+    rows = rows.join(by_module.withColumnRenamed("q", "__q"), ["__q", "n"], "left").join(known.withColumnRenamed("q", "__q"), "__q", "left")
     has_q, in_symbol = F.col("q").isNotNull(), F.col("caller_id").isNotNull()
     itself = has_q & in_symbol & F.col("q").isin(*vocab.SELF_QUALIFIERS) & F.col("local_n").isNotNull()
     outside = F.col("q").isin(*vocab.PLATFORM_QUALIFIERS) | F.col("q").isin(*vocab.MANAGER_KINDS)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loomgraph.operators.extract import decode, merged_profile
-from loomgraph.operators.relational import running_budget, top_k
+from loomgraph.operators.relational import first_rows, running_budget, top_k
 from loomgraph.project import Project
 from loomgraph.sources.store import cut
 
@@ -52,12 +52,12 @@ def source_units(project: Project, chosen: DataFrame, max_chars: int, max_units:
     return units.orderBy("unit").select("unit", "symbol_id", "project", F.concat_ws(".", "owner", "name").alias("symbol"), "kind", F.col("is_export").alias("export"), "directive", "region", "signature", "parameters", F.col("path").alias("file"), F.col("line_from").alias("line_start"), F.col("line_to").alias("line_end"), "source")
 
 
-def outgoing(project: Project, found: DataFrame, selected: DataFrame, limit: int) -> DataFrame:
+def outgoing(project: Project, found: DataFrame, selected: DataFrame, limit: int | None) -> DataFrame:
     """Edges one step on from the entities found and the symbols selected(symbol_id)."""
     seeds = found.select(F.col("kind").alias("source_kind"), F.col("id").alias("source_id"))
     seeds = seeds.unionByName(selected.select(F.lit("symbol").alias("source_kind"), F.col("symbol_id").alias("source_id"))).distinct()
     met = project.edges.join(seeds, ["source_kind", "source_id"], "left_semi").withColumn("depth", F.lit(1).cast("long"))
-    return met.orderBy(project.place(), "source_kind", "source_id", "relation", "target_name").limit(limit)
+    return first_rows(met, [project.place(), "source_kind", "source_id", "relation", "target_name"], limit)
 
 
 def queries_near(project: Project, selected: DataFrame) -> DataFrame:

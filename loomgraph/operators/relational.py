@@ -101,10 +101,15 @@ def reject_repeats(df: DataFrame, unique: list[str], file_key: str, order: list[
     return marked.withColumn("rejected", F.max("__again").over(Window.partitionBy(file_key)) == 1).drop("__again")
 
 
-def staged_union(stages: list[DataFrame], order: list[str], limit: int) -> DataFrame:
-    """Rows of the stages, earlier stages first, `limit` in all."""
+def first_rows(df: DataFrame, order: list[str | Column], limit: int | None) -> DataFrame:
+    """The first rows in order; all of them, in order, without a limit."""
+    return df.orderBy(*order) if limit is None else df.orderBy(*order).limit(limit)
+
+
+def staged_union(stages: list[DataFrame], order: list[str], limit: int | None) -> DataFrame:
+    """Rows of the stages, earlier stages first, `limit` in all (None: every row)."""
     tagged = [s.withColumn("stage", F.lit(i).cast("long")) for i, s in enumerate(stages)]
-    return reduce(DataFrame.unionByName, tagged).orderBy("stage", *order).limit(limit)
+    return first_rows(reduce(DataFrame.unionByName, tagged), ["stage", *order], limit)
 
 
 def count_where(df: DataFrame, **tests: Column) -> DataFrame:

@@ -22,4 +22,4 @@ def query(oracle: str | None = None) -> Callable:
     return add
 
 
-from loomgraph.plans import graph_queries, relational_queries, resolution_queries, text_queries  # noqa: E402,F401
+from loomgraph.plans import graph_queries, project_queries, relational_queries, resolution_queries, text_queries  # noqa: E402,F401

@@ -29,7 +29,11 @@ def _facts(spark, d) -> tuple[Facts, Facts]:
     parts = part.join(home, "p_partkey").join(supplier.select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
     parts = cut(parts.select("p_partkey", "p_name", "p_size", "s_suppkey", "s_name", own("s_nationkey", "project")))
     name = F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))
-    symbols = parts.select(F.col("p_partkey").cast("long").alias("symbol_id"), F.col("s_suppkey").cast("long").alias("module_id"), name.alias("name"), (F.col("p_partkey") % 3 == 0).alias("is_export"), "project")
+    symbols = parts.select(
+        F.col("p_partkey").cast("long").alias("symbol_id"), F.col("s_suppkey").cast("long").alias("module_id"), name.alias("name"), (F.col("p_partkey") % 3 == 0).alias("is_export"), "project",
+        F.concat("s_name", F.lit(".bsl")).alias("path"), F.when(F.col("p_size") % 2 == 0, "function").otherwise("procedure").alias("kind"), F.when(F.col("p_size") % 5 == 0, "AtServer").alias("directive"),
+        F.when(F.col("p_size") % 3 == 0, F.col("p_name")).alias("region"), F.col("p_size").cast("int").alias("line_start"),
+    )
     callers = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("caller_name"), own("s_nationkey", "caller_project"))
     met = line.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("p_partkey")).join(parts, "p_partkey").join(callers, "l_suppkey")
     calls = met.select(
@@ -49,7 +53,7 @@ def _facts(spark, d) -> tuple[Facts, Facts]:
 SQL = f"""WITH home AS (SELECT l_partkey AS p_partkey, min(l_suppkey) AS s_suppkey FROM lineitem GROUP BY 1
 ), sym AS (SELECT p_partkey AS id, s_suppkey AS m, p_partkey % 3 = 0 AS ex, p_name, s_name, p_name || ' ' || p_size AS name, {N1.format("p_name || ' ' || p_size")} AS n, s_nationkey % 2 = 1 AS inc,
   s_suppkey % 3 = 0 AS common, {N1.format('s_name')} AS q1, CASE WHEN s_suppkey % 4 = 0 THEN 'owner' || (s_suppkey % 40) END AS q2 FROM part JOIN home USING (p_partkey) JOIN supplier USING (s_suppkey)
-), call0 AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey, l_linenumber, sym.p_name, sym.n, sym.s_name, l_linenumber <> 7 AS in_symbol, c.s_name AS caller_name
+), call0 AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, l_suppkey, l_linenumber, sym.p_name, sym.n, sym.s_name, sym.id AS part_id, sym.name AS call_name, l_linenumber <> 7 AS in_symbol, c.s_name AS caller_name
   FROM lineitem JOIN sym ON l_partkey = sym.id JOIN supplier c ON c.s_suppkey = l_suppkey WHERE c.s_nationkey % 2 = 0
 ), call AS (SELECT *, {N1.format("split_part(" + QUALIFIER + ", '.', 1)")} AS q FROM call0
 ), loc AS (SELECT m, n, count(*) AS c, min(id) AS id FROM sym WHERE NOT inc GROUP BY ALL
@@ -77,7 +81,7 @@ SQL = f"""WITH home AS (SELECT l_partkey AS p_partkey, min(l_suppkey) AS s_suppk
   loc.id AS loc_id, qual.id AS qual_id, iqual.id AS iqual_id, com.id AS com_id, exp.id AS exp_id, icom.id AS icom_id, iexp.id AS iexp_id
   FROM call LEFT JOIN loc ON loc.m = l_suppkey AND loc.n = call.n LEFT JOIN qual ON qual.q = call.q AND qual.n = call.n LEFT JOIN iqual ON iqual.q = call.q AND iqual.n = call.n
   LEFT JOIN com ON com.n = call.n LEFT JOIN exp ON exp.n = call.n LEFT JOIN icom ON icom.n = call.n LEFT JOIN iexp ON iexp.n = call.n LEFT JOIN mods ON mods.q = call.q
-), out AS (SELECT call_id, n, q, in_symbol, resolution, CASE resolution WHEN 'same_module_object' THEN loc_id WHEN 'same_module' THEN loc_id WHEN 'qualified_module' THEN qual_id WHEN 'included_qualified_module' THEN iqual_id
+), out AS (SELECT call_id, n, q, in_symbol, resolution, part_id, call_name, caller_name, l_linenumber, {QUALIFIER} AS qualifier, CASE resolution WHEN 'same_module_object' THEN loc_id WHEN 'same_module' THEN loc_id WHEN 'qualified_module' THEN qual_id WHEN 'included_qualified_module' THEN iqual_id
   WHEN 'global_common_module' THEN com_id WHEN 'unique_export' THEN exp_id WHEN 'included_global_common_module' THEN icom_id WHEN 'included_unique_export' THEN iexp_id END AS resolved_id FROM res) """
 
 

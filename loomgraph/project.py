@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.textfn import holds_lowered, like_ascii, normalize
 from loomgraph.operators import graph
 from loomgraph.operators.extract import Facts, extract, together
-from loomgraph.operators.relational import count_where, staged_union, top_k
+from loomgraph.operators.relational import count_where, first_rows, staged_union, top_k
 from loomgraph.operators.resolve import cross_project_candidates, edges, resolve_calls
 from loomgraph.sources.export import scan
 from loomgraph.sources.store import cut
@@ -31,7 +31,7 @@ class Stored:
 
 
 class Project:
-    """Facts, resolved calls and edges of one export; every answer is a DataFrame."""
+    """Facts, resolved calls and edges of one export; every answer is a DataFrame, of all rows where the limit is None."""
 
     def __init__(self, spark: SparkSession, root: str = "", name: str = "", include: Sequence[Project] = (), stored: Stored | None = None):
         """An export under root, or the tables that a workspace keeps of one. Included projects answer beside this one, after it.
@@ -73,7 +73,7 @@ class Project:
         symbols = f.symbols.join(owner, "module_id").select(F.lit("symbol").alias("kind"), F.col("symbol_id").alias("id"), "name", F.concat_ws(".", "owner", "name").alias("full_name"), F.col("is_export").alias("exported"), none.alias("synonym"), what(F.col("kind"), "directive", F.col("directive")), "project")
         return objects.unionByName(modules).unionByName(symbols)
 
-    def find(self, term: str, limit: int = 100) -> DataFrame:
+    def find(self, term: str, limit: int | None = 100) -> DataFrame:
         """Of this project, then of each included one: symbols by exact name, then objects and modules by exact name.
 
         Whatever contains the term comes in only for projects in which nothing has it as its name.
@@ -86,7 +86,7 @@ class Project:
         met = cut(e.withColumn("stage", F.when(symbol, 0).when(exact, 1).when(near, 2).cast("long")).filter("stage IS NOT NULL"))
         named = met.filter("stage < 2").select("project").distinct()
         met = met.filter("stage < 2").unionByName(met.filter("stage = 2").join(named, "project", "left_anti").select(*met.columns))
-        return met.orderBy("place", "stage", "full_name", "id").limit(limit).drop("place")
+        return first_rows(met, ["place", "stage", "full_name", "id"], limit).drop("place")
 
     def symbols_for_entities(self, found: DataFrame, per_entity: int = 20) -> DataFrame:
         """Symbols found, and at most per_entity of each module or object: those with a directive first, then exported ones."""
@@ -107,7 +107,7 @@ class Project:
         modules = modules.unionByName(held.join(found.filter("kind = 'metadata'"), "id", "left_semi").select("module_id")).distinct()
         return direct.unionByName(self.facts.symbols.join(modules, "module_id", "left_semi").select(F.col("symbol_id").alias("node"))).distinct()
 
-    def calls(self, term: str, direction: str = "both", depth: int = 1, limit: int = 200) -> DataFrame:
+    def calls(self, term: str, direction: str = "both", depth: int = 1, limit: int | None = 200) -> DataFrame:
         """caller, callee, name, resolution, project, path, line, column, depth, direction.
 
         Unresolved calls show up on the way out, and once more with the only symbol of all projects that they may mean.
@@ -122,23 +122,23 @@ class Project:
 
         rows = graph.calls(links, self.symbols_of(self.find(term, 50)), direction, depth, candidates if self.included else lambda met: met)
         rows = rows.select("caller", "callee", "name", "resolution", "project", "path", "line", "column", "depth", "direction")
-        return rows.orderBy("depth", "direction", self.place(), "path", "line", "column", "name", F.col("callee").isNotNull()).limit(limit)
+        return first_rows(rows, ["depth", "direction", self.place(), "path", "line", "column", "name", F.col("callee").isNotNull()], limit)
 
-    def impact(self, term: str, depth: int = 2, limit: int = 500) -> DataFrame:
+    def impact(self, term: str, depth: int = 2, limit: int | None = 500) -> DataFrame:
         """What depends on the term's entities, level by level."""
         if depth < 1:
             raise ValueError("depth must be at least 1")
         rows = graph.impact(self.edges, self.find(term, 50).select("kind", "id"), depth)
-        return rows.orderBy("depth", self.place(), "path", "line", "relation", "target_name").limit(limit)
+        return first_rows(rows, ["depth", self.place(), "path", "line", "relation", "target_name"], limit)
 
-    def audit(self, group_by: str = "reason", limit: int = 50) -> DataFrame:
+    def audit(self, group_by: str = "reason", limit: int | None = 50) -> DataFrame:
         """value, n: the project's own calls by resolution, or unresolved ones by name or qualifier."""
         rows = self.own_calls
         if group_by not in ("reason", "name", "qualifier"):
             raise ValueError(group_by)
         value = {"reason": F.col("resolution"), "name": F.concat_ws(".", "qualifier", "name"), "qualifier": F.coalesce("qualifier", F.lit("<without qualifier>"))}[group_by]
         rows = rows if group_by == "reason" else rows.filter(F.col("resolution").startswith("unresolved"))
-        return rows.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value").limit(limit)
+        return first_rows(rows.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")), [F.col("n").desc(), "value"], limit)
 
     def audit_counters(self) -> DataFrame:
         """One row: the project's own calls by how they were resolved, and its dependencies without a target."""
@@ -191,7 +191,7 @@ class Project:
         """The same for calls out of symbols whose name holds the term."""
         return self._direct_calls(term, "caller")
 
-    def dependencies(self, term: str, incoming: bool = True, limit: int = 200) -> DataFrame:
+    def dependencies(self, term: str, incoming: bool = True, limit: int | None = 200) -> DataFrame:
         """source_name, relation, target_name, resolved, path, line of edges whose target (incoming) or source name holds the term."""
         names = self.entities().select(F.col("kind").alias("k"), F.col("id").alias("i"), "full_name")
         of = lambda side: names.select(F.col("k").alias(f"{side}_kind"), F.col("i").alias(f"{side}_id"), F.col("full_name").alias(f"{side}_full"))
@@ -200,9 +200,9 @@ class Project:
             F.coalesce("source_full", F.concat(F.lit("<"), "source_kind", F.lit(">"))).alias("source_name"), "relation", F.coalesce("target_full", "target_name").alias("target_name"),
             F.col("target_id").isNotNull().alias("resolved"), "path", "line",
         )
-        return rows.filter(holds_lowered("target_name" if incoming else "source_name", term)).orderBy("source_name", "relation", "target_name", "path", "line").limit(limit)
+        return first_rows(rows.filter(holds_lowered("target_name" if incoming else "source_name", term)), ["source_name", "relation", "target_name", "path", "line"], limit)
 
-    def search(self, term: str, limit: int = 100) -> DataFrame:
+    def search(self, term: str, limit: int | None = 100) -> DataFrame:
         """kind, name, place, details: objects whose name, full name or synonym holds the term, then symbols whose name does."""
         f = self.facts
         any_name = holds_lowered("name", term) | holds_lowered("full_name", term) | holds_lowered(F.coalesce("synonym", F.lit("")), term)

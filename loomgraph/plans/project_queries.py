@@ -42,7 +42,9 @@ def _objects(spark, d):
     return nations.unionByName(customers).unionByName(orders), placed
 
 
-def _project(spark, d) -> Project:
+def _project(spark, d, keep: bool = False) -> Project:
+    """The asked project with its library; `keep` stores calls and edges for answers that read them more than once."""
+    held = cut if keep else lambda rows: rows
     own, included = _facts(spark, d)
     objects, placed = _objects(spark, d)
     objects = cut(objects)
@@ -73,10 +75,10 @@ def _project(spark, d) -> Project:
         return Facts(modules, of.symbols, of.calls, *rest)
 
     a, b = facts(own, "own"), facts(included, "included")
-    resolved = cut(resolve_calls(a, b, BUILT_INS, PLATFORM))
+    resolved = held(resolve_calls(a, b, BUILT_INS, PLATFORM))
     b.calls, b.references, b.queries, none = b.calls.filter("false"), b.references.filter("false"), b.queries.filter("false"), resolved.filter("false")
-    library = Project(spark, name="included", stored=Stored(b, none, cut(edges(b, none)), files("included"), sources("included")))
-    return Project(spark, name="own", include=[library], stored=Stored(a, resolved, cut(edges(a, resolved, b)), files("own"), sources("own")))
+    library = Project(spark, name="included", stored=Stored(b, none, held(edges(b, none)), files("included"), sources("included")))
+    return Project(spark, name="own", include=[library], stored=Stored(a, resolved, held(edges(a, resolved, b)), files("own"), sources("own")))
 
 
 #: The twin spells out objects, aliases and edges by plain joins.
@@ -141,7 +143,7 @@ def q_project_find(spark, d):
 ), two AS (SELECT DISTINCT source_kind AS kind, source_id AS id FROM one WHERE source_id IS NOT NULL AND (source_kind, source_id) NOT IN (SELECT (kind, id) FROM seed))
 SELECT {', '.join(EDGE)}, 1::BIGINT AS depth FROM one UNION ALL SELECT {', '.join(EDGE)}, 2 FROM edge WHERE (target_kind, target_id) IN (SELECT (kind, id) FROM two)""")
 def q_project_impact(spark, d):
-    return _project(spark, d).impact(TERMS[3], 2, None).select(*EDGE, "depth")
+    return _project(spark, d, keep=True).impact(TERMS[3], 2, None).select(*EDGE, "depth")
 
 
 @query(BASE + f"""SELECT count(*) AS calls, count(resolved_id) AS resolved, count(*) FILTER (resolution LIKE 'ambiguous%') AS ambiguous, count(*) FILTER (resolution = 'built_in') AS built_in, count(*) FILTER (resolution = 'platform_api') AS platform,
@@ -149,13 +151,13 @@ def q_project_impact(spark, d):
   (SELECT count(*) FROM sym WHERE NOT inc) AS symbols, (SELECT count(*) FROM sym WHERE NOT inc AND ex) AS exported, (SELECT count(*) FROM mods2 WHERE inc = 0) + (SELECT count(DISTINCT path) FROM obj WHERE inc = 0) AS files,
   (SELECT count(*) FROM obj WHERE inc = 0) AS metadata, (SELECT count(*) FROM mods2 WHERE inc = 0) AS modules, (SELECT count(*) FROM sym WHERE NOT inc) AS queries, (SELECT count(*) FROM supplier WHERE s_nationkey % 2 = 0 AND s_acctbal < 0) AS errors FROM out""")
 def q_project_summary(spark, d):
-    return _project(spark, d).summary()
+    return _project(spark, d, keep=True).summary()
 
 
 @query(BASE + """SELECT 'reason' AS by, resolution AS value, count(*) AS n FROM out GROUP BY ALL UNION ALL SELECT 'name', concat_ws('.', qualifier, call_name), count(*) FROM out WHERE resolution LIKE 'unresolved%' GROUP BY ALL
   UNION ALL SELECT 'qualifier', coalesce(qualifier, '<without qualifier>'), count(*) FROM out WHERE resolution LIKE 'unresolved%' GROUP BY ALL""")
 def q_project_audit(spark, d):
-    p = _project(spark, d)
+    p = _project(spark, d, keep=True)
     a, b, c = (p.audit(by, None).select(F.lit(by).alias("by"), "value", "n") for by in ("reason", "name", "qualifier"))
     return a.unionByName(b).unionByName(c)
 
@@ -195,7 +197,7 @@ def q_project_profile(spark, d):
 ), ranked AS (SELECT sym.id, row_number() OVER (PARTITION BY h.kind, h.id ORDER BY (split_part(name, ' ', -1)::INT % 5 <> 0), ex DESC, split_part(name, ' ', -1)::INT, sym.id) AS r FROM held h JOIN sym ON sym.m = h.m)
 SELECT id, full_name, exported, details, {PROJECT} FROM ent WHERE kind = 'symbol' AND id IN (SELECT id FROM ranked WHERE r <= 20)""")
 def q_project_symbols_of_entities(spark, d):
-    p = _project(spark, d)
+    p = _project(spark, d, keep=True)
     found = p.find("Supplier#00000000", None).unionByName(p.find("Owner 8", None))
     return p.symbols_for_entities(found.filter("kind <> 'symbol'")).select("id", "full_name", "exported", "details", "project")
 

@@ -145,7 +145,8 @@ def edges(facts: Facts, calls: DataFrame, included: Facts | None = None) -> Data
     if included:
         named = named.unionByName(included.objects.withColumn("theirs", F.lit(1)))
     aliases = named.select("theirs", F.explode(F.array(normalize("full_name"), normalize(F.concat_ws(".", "kind", "name")))).alias("alias"), "object_id", "full_name")
-    aliases = aliases.groupBy("alias").agg(F.min(F.struct("theirs", "full_name", "object_id")).alias("o")).select("alias", F.col("o.object_id").alias("object_id"))
+    # A table of its own: joins with it are then plain shuffles, and Spark splits a beginning that very many names share.
+    aliases = cut(aliases.groupBy("alias").agg(F.min(F.struct("theirs", "full_name", "object_id")).alias("o")).select("alias", F.col("o.object_id").alias("object_id")))
 
     def to_objects(rows: DataFrame, more: Sequence[str] = ()) -> DataFrame:
         rows = rows.withColumn("raw", normalize("target_name"))

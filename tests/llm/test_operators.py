@@ -138,6 +138,32 @@ def test_ngram_join_links_members_where_one_is_larger_than_the_leader(spark):
     assert got == {i: 1 for i in sets}
 
 
+def test_shingles_of_neighbouring_texts_are_those_of_each_alone():
+    rng, texts = random.Random(8), [None, "", " ", "A b", "a\nB", "x " * 70_000]
+    for _ in range(1500):
+        letters = rng.choice(["ab \n", "AbC\x0b\t\r\x0c \x1c\x85\0", "Длинные \u00a0Слова", "y "])
+        long = f" {'q' * rng.randrange(24, 41)} {'z' * rng.randrange(70)}"
+        texts.append("".join(rng.choices(letters, k=rng.choice([0, 1, 3, 10, 50, 400]))) + rng.choice(["", " ", long]))
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for t in texts]
+    plain = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    got = [s.tolist() for s in ngram_join.shingle_sets([None if t is None else t.encode() for t in texts])]
+    assert [len(s) for s in got] == [len(p) for p in plain] and all(s == sorted(set(s)) for s in got)
+    assert len(set().union(*got)) == len(set().union(*plain))
+    assert [len(set(a) & set(b)) for a, b in zip(got, got[7:])] == [len(a & b) for a, b in zip(plain, plain[7:])]
+    assert all(ngram_join.shingle_set(t).tolist() == s for t, s in zip(texts, got))
+
+
+def test_ngram_join_indexes_nothing_of_families_that_have_too_little_in_common(spark, monkeypatch):
+    """Tokens that one family holds alone are in no link with another: neither ranked nor indexed."""
+    passage = [f"p{i}" for i in range(20)]
+    rows = [(10 * g + k, " ".join([f"g{g}w{i}" for i in range(60)] + passage + [f"own{g}_{k}"])) for g in range(3) for k in range(4)]
+    ranked, index = [], ngram_join._index
+    monkeypatch.setattr(ngram_join, "_index", lambda tokens, frequent: ranked.append(tokens.count()) or index(tokens, frequent))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+    assert ranked == [0]
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 200 + i) for i in range(30)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -56,6 +56,64 @@ def test_packing_ids_of_any_text():
     assert [t for t, w in zip(texts, want) if tokenizer.encode(t)[0].tolist() != w.ids] == []
 
 
+class Counted:
+    """A tokenizer that counts its calls and the texts of each."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls.append(len(texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_packing_encodes_new_words_of_many_texts_together():
+    rng, tokenizer = random.Random(3), packing.ChunkTokenizer(TOKENIZERS.path("word_bpe_49k.json"))
+    texts = [" ".join("".join(rng.choices("abcdefgéжñ", k=9)) + rng.choice(["", ".", ", x"]) for _ in range(30)) for _ in range(500)] + ["", "a  b.\n\nC", "", "İx."]
+    want = [w.ids for w in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    tokenizer.tokenizer = counted = Counted(tokenizer.tokenizer)
+    assert [ids.tolist() for ids, _ in tokenizer.encode_all(texts)] == want
+    # Before: a call for each text, and each of the 15,000 new words a text of its own.
+    assert len(counted.calls) <= 2 and sum(counted.calls) < 15_000 / 40
+
+
+@pytest.mark.parametrize("told", [True, False])
+def test_packing_in_small_parts(monkeypatch, told):
+    rng, tokenizer = random.Random(4), packing.ChunkTokenizer(TOKENIZERS.path("word_bpe_49k.json"), most=50)
+    for name, size in {"TEXTS": 300, "IDS": 20, "JOINED": 3}.items():
+        monkeypatch.setattr(packing, name, size)
+    if not told:  # a vocabulary that doesn't tell where words end
+        tokenizer.last[:] = False
+    parts = ["word", "two. ", "Three!", "É", "é?", " ", "\n", "…", "12", "жук.", "don't", ".", "", "İ"]
+    texts = ["".join(rng.choices(parts, k=rng.choice([0, 1, 5, 80]))) for _ in range(600)]
+    got = list(tokenizer.encode_all(texts))
+    assert [ids.tolist() for ids, _ in got] == [w.ids for w in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for text, (ids, ends) in zip(texts, got):
+        chunks = re.sub(r"([0-9a-zéж-я])([.,;:!?]+)(?=[ \n]|$)", r"\1 \2", text.lower() if "İ" not in text else text).replace("\n", " ").split(" ")
+        after, want = 0, []
+        for c in chunks:
+            after += len(tokenizer.tokenizer.encode(c, add_special_tokens=False).ids)
+            want += [after] if c.endswith(packing.SENTENCE_END) else []
+        assert after == len(ids) and ends.tolist() == sorted(set(want))
+
+
+def test_packing_places_of_cuts():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(200):
+        sizes = [rng.choice([1, 5, 64, 65, 128, 129, 300]) for _ in range(rng.randrange(6))]
+        ends = [np.array(sorted({rng.randrange(1, n + 1) for _ in range(rng.randrange(4))}), np.int64) for n in sizes]
+        want, base = {0: 0}, 0
+        for n, e in zip(sizes, ends):
+            for k in [*e.tolist(), n]:
+                want[base + k] = 0 if k == n else packing.AT_SENTENCE
+            base += n
+        for a, b in zip(list(want), list(want)[1:]):
+            want |= {k: packing.IN_SENTENCE for k in range(a + packing.STRETCH, b, packing.STRETCH)}
+        assert packing.candidate_cuts(sizes, ends) == (sorted(want), [want[k] for k in sorted(want)])
+
+
 @pytest.mark.parametrize("step", [1, 1000, 2**44])
 def test_packing_of_sparse_and_large_ids(spark, step):
     rows = [(i * step + 2**48, f"Some words, number {i}. " * (5 + i % 40), "en", "a") for i in range(1200)] + [(2**62 + 1, "last", "en", "a"), (None, "first", "en", "a")]

@@ -7,7 +7,7 @@ from loomgraph.functions import textfn
 from loomgraph.operators import relational as R
 from loomgraph.plans.catalogue import query
 from loomgraph.plans.text_queries import N1
-from loomgraph.sources.store import table
+from loomgraph.sources.store import cut, table
 
 
 def _n(x):
@@ -181,17 +181,21 @@ def q_unique_candidate(spark, d):
     return met.select("l_orderkey", "l_linenumber", "id", F.lit("cross_project_candidate").alias("resolution"))
 
 
-# The prefixes of names meet first words in equi-joins, both ways.
+# A first word has no blank, so a name begins with it if the name's own first word does: each different word of a brand and
+# type meets its prefixes, of the lengths that words have, once. Spark sizes tables by the bytes of their files, which can
+# hold far more rows than the driver can broadcast: hence the merge joins, of plain exchanges that Spark can split.
 @query("""SELECT p.p_partkey, (SELECT min(e.p_partkey) FROM part e WHERE e.p_brand = p.p_brand AND e.p_type = p.p_type AND (starts_with(e.p_name, split_part(p.p_name, ' ', 1)) OR starts_with(p.p_name, split_part(e.p_name, ' ', 1)))) AS edge FROM part p""")
 def q_bidirectional_prefix(spark, d):
-    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_name", textfn.first_segment("p_name", " ").alias("first"))
-    prefixes = part.withColumn("n", F.explode(F.sequence(F.lit(0), F.length("p_name"))))
-    prefixes = prefixes.withColumn("prefix", F.substring(F.col("p_name"), F.lit(1), F.col("n")))
-    begun = prefixes.groupBy("p_brand", "p_type", F.col("prefix").alias("first")).agg(F.min("p_partkey").alias("one"))
-    firsts = part.groupBy("p_brand", "p_type", F.col("first").alias("prefix")).agg(F.min("p_partkey").alias("edge"))
-    reached = prefixes.join(firsts, ["p_brand", "p_type", "prefix"]).groupBy("p_partkey").agg(F.min("edge").alias("two"))
-    met = part.join(begun, ["p_brand", "p_type", "first"], "left").join(reached, "p_partkey", "left")
-    return met.select("p_partkey", F.least("one", "two").alias("edge"))
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", textfn.first_segment("p_name", " ").alias("first"))
+    keys = ["p_brand", "p_type", "first"]
+    words = cut(part.groupBy(*keys).agg(F.min("p_partkey").alias("id")))
+    lengths = F.broadcast(words.select(F.length("first").alias("n")).distinct())
+    prefixes = words.withColumnsRenamed({"first": "word", "id": "longer"}).join(lengths, F.length("word") >= F.col("n"))
+    prefixes = prefixes.withColumn("first", F.substring(F.col("word"), F.lit(1), F.col("n")))
+    pairs = prefixes.join(words.hint("merge"), keys)
+    both = F.array(F.struct("first", F.col("longer").alias("edge")), F.struct(F.col("word").alias("first"), F.col("id").alias("edge")))
+    edges = cut(pairs.select("p_brand", "p_type", F.inline(both)).groupBy(*keys).agg(F.min("edge").alias("edge")))
+    return part.join(edges.hint("merge"), keys, "left").select("p_partkey", "edge")
 
 
 @query("""WITH o AS (SELECT n_name, o_orderkey, row_number() OVER (PARTITION BY n_name ORDER BY o_totalprice DESC, o_orderkey) AS r

@@ -122,6 +122,39 @@ def test_joins_over_all_rows_against_brute_force(spark, tmp_path):
     assert {r.page_id: (r.alias, r.target) for r in run("q_longest_prefix")} == want
 
 
+def test_prefixes_both_ways_broadcast_little_and_answer_per_row(spark, tmp_path):
+    from loomgraph.plans import catalogue
+
+    rng = random.Random(15)
+    words = ["", "a", "ab", "abc", "abé", "é", "b"]
+    # Keys repeat with other words, and names end at the word or go on.
+    odd = [(i % 40, rng.choice([None, *words]) and rng.choice(words) + rng.choice(["", " ", " a", " abc"]), rng.choice(["A", "B", None]), "T") for i in range(80)]
+    many = [(i, f"word{i % 9} of a long name", f"B{i % 20}", "U") for i in range(100, 6000)]
+    alike = [(i, f"word{i}", "C", "U") for i in range(6000, 9000)]
+    parts = [*odd, (None, "ab", "A", "T"), *many, *alike]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "32k")
+    try:
+        got = [(r.p_partkey, r.edge) for r in catalogue.QUERIES["q_bidirectional_prefix"](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set(limit, before)
+
+    either = lambda p, e: e.startswith(p.split(" ")[0]) or p.startswith(e.split(" ")[0])
+    least = {}
+    for key, name, brand, kind in parts:
+        if name is not None and brand and key is not None:
+            word = (brand, kind, name.split(" ")[0])
+            least[word] = min(key, least.get(word, key))
+    groups = {}
+    for (brand, kind, word), key in least.items():
+        groups.setdefault((brand, kind), []).append((word, key))
+    near = lambda n, b, k: min((key for word, key in groups.get((b, k), []) if either(n, word)), default=None)
+    want = [(key, near(name, brand, kind) if name is not None and brand else None) for key, name, brand, kind in parts]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_nested_regions_against_the_parsers_stack(spark):
     from pyspark.sql import functions as F
 
